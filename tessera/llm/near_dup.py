@@ -24,17 +24,17 @@ and it is kept; other columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.hashing import Words, batches, mix
-from tessera.llm.support import columns, components, small, table
+from tessera.llm.linking import border_pairs, hub_pairs
+from tessera.llm.support import columns, components, table
 
 
 @dataclass(frozen=True)
@@ -143,19 +143,6 @@ def postings(reps: DataFrame, rows: int = 8) -> DataFrame:
     return reps.select("id", "registers").mapInArrow(run, "bucket long, id long")
 
 
-def hub_pairs(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(bucket, id, hub, size) of buckets with several members, as a table, and distinct pairs (a, b) of members and hubs.
-
-    A bucket's hub is the member that meets most others over all buckets: the original among its edited copies.
-    """
-    several = posted.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = table(posted.join(small(table(several, "buckets")), "bucket"), "members")
-    fame = members.groupBy("id").agg(F.sum("size").alias("fame"))
-    hubs = members.join(fame, "id").groupBy("bucket").agg(F.max(F.struct("fame", "id"))["id"].alias("hub"))
-    members = table(members.join(hubs, "bucket"), "hubs")
-    return members, members.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-
-
 def likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose registers' likelihood gives at least this similarity."""
     one = reps.select(F.col("id").alias("a"), F.col("registers").alias("ra"), F.col("n").alias("na"))
@@ -195,35 +182,17 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def border_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, least: float, block: int = 256) -> DataFrame:
-    """Distinct pairs (a, b) of one bucket but different components whose estimate passes, neither being its hub.
+def close_registers(least: float) -> Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]:
+    """For border_pairs(): which of the row pairs (i, j) are likely to be similar. A blob is a set size and registers."""
 
-    Buckets of three or more members with several components are split into blocks, and every two blocks meet in one
-    task, which holds 2 * block rows and gives back only the pairs that pass.
-    """
-    labelled = members.where("size > 2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    open_ = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    rest = labelled.join(open_, "bucket", "left_semi").where("id <> hub").join(reps.select("id", "registers", "n"), "id")
-    blocks = F.ceil(F.col("size") / block).cast("long")
-    rest = rest.withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "label", "registers", "n")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        r = np.frombuffer(b"".join(rows["registers"]), np.uint8).reshape(len(rows), -1)
-        ids, label, n = (rows[c].to_numpy() for c in ("id", "label", "n"))
-        out = []
-        for i in range(len(rows) - 1):
-            j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-            if len(j):
-                same = (r[j] == r[i]).mean(1) >= least - 0.05  # cheap and looser than the likelihood that follows
-                j = j[same]
-            if len(j):
-                j = j[SKETCH.jaccard(np.repeat(r[i : i + 1], len(j), 0), r[j], np.full(len(j), n[i]), n[j]) >= least]
-                out.append(np.column_stack([np.full(len(j), ids[i]), ids[j]]))
-        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
-
-    return rest.groupBy("bucket", "x", "y").applyInPandas(run, "a long, b long").distinct()
+    def near(blobs: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        rows = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1)
+        n, r = rows[:, :8].copy().view(np.int64).ravel(), rows[:, 8:]
+        keep = (r[i] == r[j]).mean(1) >= least - 0.05  # cheap and looser than the likelihood that follows
+        keep[keep] = SKETCH.jaccard(r[i[keep]], r[j[keep]], n[i[keep]], n[j[keep]]) >= least
+        return keep
+
+    return near
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
@@ -238,7 +207,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     links = table(verified(pairs, docs, k, percent), "verified")
     # Ids of one class, or of several where rows share a doc_id, hang together too.
     labels = components(links)
-    more = table(border_pairs(members, labels, reps, least).join(pairs, ["a", "b"], "left_anti"), "border")
+    blobs = reps.select("id", F.concat(_little_endian("n"), "registers").alias("blob"))
+    more = table(border_pairs(members, labels, blobs, close_registers(least)).join(pairs, ["a", "b"], "left_anti"), "border")
     links = links.unionByName(verified(more, docs, k, percent))
     shared = full.join(classes, ["d1", "d2"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct()
     labels = components(links.unionByName(_ambiguous(shared)))
@@ -249,6 +219,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     return tied.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _little_endian(name: str) -> Column:
+    """A long's eight bytes, least first."""
+    return F.unhex(F.concat(*(F.substring(F.lpad(F.hex(name), 16, "0"), i, 2) for i in range(15, 0, -2))))
+
+
 def _ambiguous(shared: DataFrame) -> DataFrame:
     """Class links of ids that stand in several classes, which happens only where rows share a doc_id."""
     several = shared.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, language, near_dup, nearest
+from tessera.llm import bpe, chat, language, lines, near_dup, nearest, substrings
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(_read(spark, folder, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove(_read(spark, folder, "documents"), 35, digest=True)
+
+
 def op7_approximate_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.nearest(_read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -61,7 +65,13 @@ def op9_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(_read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document its id, lines, lines that go, and the digest of the text that is left (null for a null text)."""
+    kept = lines.dedup_lines(_read(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_chat_formatting, op4_language_id, op5_minhash_near_dedup, op7_approximate_nearest_neighbours, op9_byte_level_bpe)
+    f.__name__: f for f in (op2_chat_formatting, op4_language_id, op5_minhash_near_dedup, op6_substring_dedup, op7_approximate_nearest_neighbours, op9_byte_level_bpe, op10_line_dedup)
 }
 SQL: dict[str, str] = {}

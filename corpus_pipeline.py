@@ -1,8 +1,62 @@
-"""A corpus pipeline of five stages."""
+"""A corpus pipeline: documents in, token digests out.
 
-STAGES: list = []
+Each stage takes (spark, docs, folder), works on all that the one before kept, and its decisions take effect: language ID
+drops documents of no identified language, line dedup removes repeated lines (and documents that lose every word of
+theirs), near-dedup keeps one document of each group, decontamination drops documents that hold a benchmark item, and BPE
+encodes what is left. All but the last return the columns of documents; n_chars, where present, follows the text.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, contamination, language, lines, near_dup
+from tessera.llm.support import table
+
+#: Of the languages found in a document, the largest must hold at least this share.
+SHARE = 0.5
+
+
+def identify(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents with an identified main language; learned from the labelled ones among docs."""
+    found = language.predict(docs, language.train(docs), *(F.col(c) for c in docs.columns))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= SHARE)).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Texts of lines that stay; a document whose lines all went goes too."""
+    out = lines.dedup_lines(docs).where("n_removed = 0 OR text RLIKE '\\\\S'")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group of near copies."""
+    gone = table(near_dup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "copies")
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents without benchmark items."""
+    return contamination.clean(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per document."""
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [("language_id", identify), ("line_dedup", dedup_lines), ("near_dedup", dedup_documents), ("decontamination", decontaminate), ("byte_bpe", encode)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = table(docs, name)
+    return docs

@@ -9,13 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, language, lines, near_dup, nearest, substrings
+from tessera.llm import bpe, chat, contamination, language, licenses, lines, near_dup, nearest, substrings, urls
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination.contaminated(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+
+
 def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     turns = _read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
@@ -41,6 +45,48 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
+#: list, kind, key, action, day, seq: a dated block and allow list for the hosts of the test pages.
+ENTRIES = [
+    ("block-gambling", "domain", "casino-win.example.com", "add", "2024-01-10", 1),
+    ("block-gambling", "domain", "casino-win.example.com", "remove", "2024-06-01", 2),
+    ("block-gambling", "domain", "casino-win.example.com", "add", "2024-09-15", 3),
+    ("block-spam", "host", "blog.tionsh.example.com", "add", "2024-02-01", 4),
+    ("block-spam", "host", "blog.tionsh.example.com", "remove", "2024-05-01", 5),
+    ("block-spam", "domain", "example.net", "add", "2024-07-01", 6),
+    ("block-spam", "domain", "example.net", "remove", "2024-08-01", 7),
+    ("block-spam", "path", "m.ththth.example.net/en", "add", "2024-03-01", 8),
+    ("block-malware", "domain", "tionble.example.org", "add", "2024-04-01", 9),
+    ("block-malware", "domain", "tionble.example.org", "remove", "2024-04-01", 10),
+    ("block-malware", "domain", "tionble.example.org", "add", "2024-11-01", 11),
+    ("allow-partners", "host", "tiontion.example.net", "add", "2024-07-10", 12),
+    ("allow-partners", "host", "tiontion.example.net", "remove", "2024-07-20", 13),
+]
+
+
+def op3_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages bear no fetch time: each is taken as fetched on the day page_id mod 366 of 2024."""
+    pages = _read(spark, folder, "pages").select("page_id", "url", F.expr("date_add(DATE'2024-01-01', CAST(page_id % 366 AS INT))").alias("fetched"))
+    entries = spark.createDataFrame(ENTRIES, "list string, kind string, key string, action string, day string, seq int").withColumn("day", F.to_date("day"))
+    return urls.judge(pages, entries).withColumn("fetched", F.date_format("fetched", "yyyy-MM-dd"))
+
+
+_OP3_SQL = f"""
+WITH entry(list, kind, key, action, day, seq) AS (VALUES {", ".join(f"('{a}', '{b}', '{c}', '{d}', DATE '{e}', {f})" for a, b, c, d, e, f in ENTRIES)}),
+last AS (SELECT list, kind, key, day, arg_max(action, seq) AS action FROM entry GROUP BY ALL),
+page AS (SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) AS host,
+  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/?([^?#]*)', 1) AS path FROM pages),
+hit AS (
+  SELECT p.page_id, k.list FROM page p, (SELECT DISTINCT list, kind, key FROM entry) k
+  WHERE CASE k.kind WHEN 'host' THEN p.host = k.key WHEN 'domain' THEN p.host = k.key OR p.host LIKE '%.' || k.key
+    ELSE p.host || '/' || p.path = k.key OR p.host || '/' || p.path LIKE k.key || '/%' END
+  AND (SELECT arg_max(l.action, l.day) FROM last l WHERE l.list = k.list AND l.kind = k.kind AND l.key = k.key AND l.day <= p.fetched) = 'add'),
+names AS (SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM hit GROUP BY page_id)
+SELECT page_id, url, strftime(fetched, '%Y-%m-%d') AS fetched, host, coalesce(lists, '') AS lists,
+  CASE WHEN lists LIKE '%allow%' OR lists IS NULL THEN 'allow' ELSE 'block' END AS verdict
+FROM page LEFT JOIN names USING (page_id)
+"""
+
+
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _read(spark, folder, "documents").select("doc_id", "text", "lang", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"))
     model = language.train(docs.where("NOT held_out"))
@@ -59,6 +105,10 @@ def op7_approximate_nearest_neighbours(spark: SparkSession, folder: str) -> Data
     return nearest.nearest(_read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op8_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_read(spark, folder, "documents"))
+
+
 def op9_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -72,6 +122,18 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_chat_formatting, op4_language_id, op5_minhash_near_dedup, op6_substring_dedup, op7_approximate_nearest_neighbours, op9_byte_level_bpe, op10_line_dedup)
+    f.__name__: f
+    for f in (
+        op1_benchmark_decontamination,
+        op2_chat_formatting,
+        op3_url_filters,
+        op4_language_id,
+        op5_minhash_near_dedup,
+        op6_substring_dedup,
+        op7_approximate_nearest_neighbours,
+        op8_license_scans,
+        op9_byte_level_bpe,
+        op10_line_dedup,
+    )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_url_filters": _OP3_SQL}

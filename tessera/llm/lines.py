@@ -15,6 +15,7 @@ that loses all its lines is left with an empty text, or its blank lines; other c
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.hashing import mix
-from tessera.llm.linking import border_pairs, hub_pairs
+from tessera.llm.linking import border_links, hub_pairs, open_members
+from tessera.llm.near_dup import similar
 from tessera.llm.support import columns, components, small, table
 
 SHINGLE, ROWS, BANDS = 8, 4, 12
@@ -99,28 +101,29 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         for batch in rows:
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.unique(shingles(x.as_py())), np.unique(shingles(y.as_py()))
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                keep[i] = similar(np.unique(shingles(x.as_py())), np.unique(shingles(y.as_py())), percent)
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in range(2)], ["a", "b"])
 
     one, two = (texts.select(F.col("id").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _near(blobs: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Lines whose signatures agree as those of a similarity of 0.8 do, but for one in a million."""
-    signs = np.frombuffer(b"".join(blobs), np.uint32).reshape(len(blobs), -1)
-    return (signs[i] == signs[j]).mean(1) >= 0.5
+class Members:
+    """The lines of a block, for border_links()."""
 
+    def __init__(self, blobs: list[bytes], percent: int):
+        texts = [b.decode("utf-8", "surrogatepass") for b in blobs]
+        self.signs, self.sets, self.percent = np.array([signature(t) for t in texts]), [np.unique(shingles(t)) for t in texts], percent
+        self.keys = np.array([bands(s) for s in self.signs])
 
-def _signatures(texts: DataFrame) -> DataFrame:
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signature(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["id", "blob"])
+    def likely(self, i: np.ndarray, j: np.ndarray, bucket: int) -> np.ndarray:
+        same = self.keys[i] == self.keys[j]
+        first = same.argmax(1)  # the first bucket that both share: every pair is tested once
+        # A similarity of 0.8 agrees in fewer than half of 48 places once in a million.
+        return same.any(1) & (self.keys[i, first] == bucket) & ((self.signs[i] == self.signs[j]).mean(1) >= 0.5)
 
-    return texts.select("id", "text").mapInArrow(run, "id long, blob binary")
+    def linked(self, i: int, j: int) -> bool:
+        return similar(self.sets[i], self.sets[j], self.percent)
 
 
 def linked(docs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -133,9 +136,9 @@ def linked(docs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     texts = table(every.join(small(wanted), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "lines")
     links = table(verified(pairs, texts, percent), "verified")
     labels = components(links)
-    signed = _signatures(texts.join(members.where("size > 2").select("id").distinct(), "id", "left_semi"))
-    more = table(border_pairs(members, labels, signed, _near).join(pairs, ["a", "b"], "left_anti"), "border")
-    return components(links.unionByName(verified(more, texts, percent)))
+    rest = open_members(members, labels)
+    held = texts.join(rest.select("id").distinct(), "id", "left_semi").select("id", F.encode("text", "UTF-8").alias("blob"))
+    return components(links.unionByName(table(border_links(rest, held, partial(Members, percent=percent)), "border")))
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -28,31 +29,55 @@ def hub_pairs(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, members.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
-def border_pairs(members: DataFrame, labels: DataFrame, blobs: DataFrame, near: Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray], block: int = 256) -> DataFrame:
-    """Distinct pairs (a, b) that share a bucket but no component and that near() lets pass, neither being the bucket's hub.
+class Judge(Protocol):
+    """What decides about the pairs of a block; built from the blobs of its members."""
 
-    Buckets of three or more members with several components are split into blocks, and every two blocks meet in one task,
-    which holds at most about 2 * block rows and gives back only the pairs that pass. labels: (id, label) of linked ids;
-    blobs: (id, blob), what near(blobs, i, j) judges row pairs by.
-    """
+    def likely(self, i: np.ndarray, j: np.ndarray, bucket: int) -> np.ndarray:
+        """Which row pairs are worth a test in this bucket: each pair of similar members must be so in one they share."""
+
+    def linked(self, i: int, j: int) -> bool:
+        """Whether two members are similar, by their whole sets."""
+
+
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, id, label): members other than the hub of buckets that hold several components. labels: (id, label) of linked ids."""
     labelled = members.where("size > 2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    open_ = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-    rest = labelled.join(open_, "bucket", "left_semi").where("id <> hub").join(blobs, "id")
-    blocks = F.ceil(F.col("size") / block).cast("long")
-    rest = rest.withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    several = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+    return table(labelled.join(several, "bucket", "left_semi").where("id <> hub").select("bucket", "id", "label"), "open")
+
+
+def border_links(rest: DataFrame, blobs: DataFrame, judge: Callable[[list[bytes]], Judge], block: int = 256, size: int = 8 << 20) -> DataFrame:
+    """Distinct links (a, b) between components, out of open_members() and their blobs (id, blob).
+
+    Buckets are split into blocks of about `block` members and `size` bytes, and every two blocks meet in one task, which
+    keeps its own union-find and gives back only links that join two of its components: fewer than it has members.
+    """
+    rest = rest.join(blobs.select("id", F.length("blob").alias("weight")), "id")
+    per = rest.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("weight") / size)).cast("long").alias("blocks"))
+    rest = rest.join(per, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(blobs, "id")
     rest = rest.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "label", "blob")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        ids, label, held = rows["id"].to_numpy(), rows["label"].to_numpy(), [bytes(b) for b in rows["blob"]]
+        ids, label = rows["id"].to_numpy(), rows["label"].to_numpy()
+        own, root = judge([bytes(b) for b in rows["blob"]]), {}
+        bucket, out = int(rows["bucket"].iloc[0]), []
+
+        def top(x: int) -> int:
+            while (y := root.get(x, x)) != x:
+                x = y
+            return x
+
         i, j = np.triu_indices(len(ids), 1)
         differ = label[i] != label[j]
         i, j = i[differ], j[differ]
-        out = []
         for at in range(0, len(i), 1 << 13):
             x, y = i[at : at + (1 << 13)], j[at : at + (1 << 13)]
-            keep = near(held, x, y)
-            out.append(np.column_stack([ids[x[keep]], ids[y[keep]]]))
-        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
+            keep = own.likely(x, y, bucket)
+            for a, b in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
+                if (p := top(label[a])) != (q := top(label[b])) and own.linked(a, b):
+                    root[p] = q
+                    out.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     return rest.groupBy("bucket", "x", "y").applyInPandas(run, "a long, b long").distinct()

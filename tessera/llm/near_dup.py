@@ -11,8 +11,8 @@ follows the Jaccard similarity. Steps, each a DataFrame job over written tables:
    meets most others, so a bucket of k members yields k - 1 pairs;
 4. pairs pass if the likelihood of both registers gives a similarity near the threshold, then both texts are read and
    their whole sets compared;
-5. buckets whose members fall into several components after step 4 are gone through block by block; only pairs over
-   component borders whose estimate passes leave a block, and they are verified as well;
+5. buckets whose members fall into several components after step 4 are gone through block by block: pairs over component
+   borders pass the same two tests inside the block, which gives back only links that join components;
 6. union-find over links between representatives, and classes joined back.
 
 At J = 0.85, 32 bands of 8 registers miss a pair with probability 2e-5. Defined results: a null text or one without
@@ -24,17 +24,18 @@ and it is kept; other columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.hashing import Words, batches, mix
-from tessera.llm.linking import border_pairs, hub_pairs
-from tessera.llm.support import columns, components, table
+from tessera.llm.linking import border_links, hub_pairs, open_members
+from tessera.llm.support import columns, components, small, table
 
 
 @dataclass(frozen=True)
@@ -130,6 +131,19 @@ def sketches(docs: DataFrame, k: int = 5) -> DataFrame:
     return columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, registers binary")
 
 
+def band_keys(bands: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Buckets of bands of registers, given as 64-bit numbers, by the bands' numbers."""
+    return mix(bands + mix(number.astype(np.uint64) + np.uint64(1)))
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union; empty ones never do."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)) or not len(x):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def postings(reps: DataFrame, rows: int = 8) -> DataFrame:
     """(bucket, id) for every band of `rows` registers."""
 
@@ -137,7 +151,7 @@ def postings(reps: DataFrame, rows: int = 8) -> DataFrame:
         for batch in batches_:
             bands = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
             n = bands.shape[1]
-            keys = mix(bands + mix(np.arange(1, n + 1, dtype=np.uint64))[None, :])
+            keys = band_keys(bands, np.arange(n)[None, :])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), n))], ["bucket", "id"])
 
     return reps.select("id", "registers").mapInArrow(run, "bucket long, id long")
@@ -172,8 +186,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                 for side, column in enumerate((a, b)):
                     held[side] = [s for _, _, found in batches(column.slice(i, n), lower=True) for s in sets(found, k)]
                 for j, (x, y) in enumerate(zip(*held, strict=True)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[i + j] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+                    keep[i + j] = similar(x, y, percent)
                 i += n
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
 
@@ -182,17 +195,37 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def close_registers(least: float) -> Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]:
-    """For border_pairs(): which of the row pairs (i, j) are likely to be similar. A blob is a set size and registers."""
+class Members:
+    """The members of a block, for border_links(): registers, then the codes of the whole set."""
 
-    def near(blobs: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        rows = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1)
-        n, r = rows[:, :8].copy().view(np.int64).ravel(), rows[:, 8:]
-        keep = (r[i] == r[j]).mean(1) >= least - 0.05  # cheap and looser than the likelihood that follows
-        keep[keep] = SKETCH.jaccard(r[i[keep]], r[j[keep]], n[i[keep]], n[j[keep]]) >= least
+    def __init__(self, blobs: list[bytes], least: float, percent: int, rows: int = 8):
+        n = SKETCH.registers
+        self.registers = np.frombuffer(b"".join(x[:n] for x in blobs), np.uint8).reshape(len(blobs), n)
+        self.bands, self.sets = self.registers.view(np.uint64), [np.frombuffer(x, np.uint64, offset=n) for x in blobs]
+        self.sizes, self.least, self.percent = np.array([len(s) for s in self.sets]), least, percent
+
+    def likely(self, i: np.ndarray, j: np.ndarray, bucket: int) -> np.ndarray:
+        same = self.bands[i] == self.bands[j]
+        first = same.argmax(1)  # the first band that both share: every pair is tested in one bucket
+        keep = same.any(1) & (band_keys(self.bands[i, first], first).view(np.int64) == bucket)
+        keep[keep] = SKETCH.jaccard(self.registers[i[keep]], self.registers[j[keep]], self.sizes[i[keep]], self.sizes[j[keep]]) >= self.least
         return keep
 
-    return near
+    def linked(self, i: int, j: int) -> bool:
+        return similar(self.sets[i], self.sets[j], self.percent)
+
+
+def blobs(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, blob) of these ids, as Members reads them."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for lo, hi, found in batches(batch.column(1), lower=True):
+                out = [SKETCH.values(SKETCH.minima(s)).tobytes() + s.tobytes() for s in sets(found, k)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(out, pa.binary())], ["id", "blob"])
+
+    texts = columns(docs, "doc_id", "text").withColumnRenamed("doc_id", "id").join(small(ids), "id", "left_semi")
+    return texts.select("id", "text").mapInArrow(run, "id long, blob binary").dropDuplicates(["id"])
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
@@ -207,9 +240,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     links = table(verified(pairs, docs, k, percent), "verified")
     # Ids of one class, or of several where rows share a doc_id, hang together too.
     labels = components(links)
-    blobs = reps.select("id", F.concat(_little_endian("n"), "registers").alias("blob"))
-    more = table(border_pairs(members, labels, blobs, close_registers(least)).join(pairs, ["a", "b"], "left_anti"), "border")
-    links = links.unionByName(verified(more, docs, k, percent))
+    rest = open_members(members, labels)
+    held = table(blobs(docs, table(rest.select("id").distinct(), "open-ids"), k), "blobs")
+    links = links.unionByName(table(border_links(rest, held, partial(Members, least=least, percent=percent)), "border"))
     shared = full.join(classes, ["d1", "d2"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct()
     labels = components(links.unionByName(_ambiguous(shared)))
     tied = known.join(classes, ["d1", "d2"], "left")
@@ -219,11 +252,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     return tied.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _little_endian(name: str) -> Column:
-    """A long's eight bytes, least first."""
-    return F.unhex(F.concat(*(F.substring(F.lpad(F.hex(name), 16, "0"), i, 2) for i in range(15, 0, -2))))
-
-
 def _ambiguous(shared: DataFrame) -> DataFrame:
     """Class links of ids that stand in several classes, which happens only where rows share a doc_id."""
     several = shared.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")

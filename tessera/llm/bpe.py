@@ -2,8 +2,8 @@
 
 A partition's texts are cut at single spaces between non-space characters, where no pre-token can span; each distinct
 piece is cut into pre-tokens once, and pre-tokens not met before go to an in-process DuckDB. There a recursive query holds
-one row per (word, position, token): every round joins neighbouring tokens with the merge table, contracts each word's
-leftmost pair of least rank, and sets a word aside when no pair of it is in the table. Decoding joins ids with the
+one row per (word, position, token), which also names its right neighbour: every round joins neighbours with the merge
+table, contracts each word's leftmost pair of least rank, and sets a word aside when no pair of it is in the table. Decoding joins ids with the
 vocabulary and concatenates bytes by an ordered aggregate. Results are cached by piece, in a cache of bounded size, so
 memory does not grow with the partition; nothing is shared between partitions but the vocabulary file.
 
@@ -26,27 +26,27 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.support import columns
 
-LONG = 400
+LONG = 400  # under 1024, by which the query packs rank and position
 #: Words that one recursive query takes, and pieces that a task keeps.
-WORDS, PIECES = 40_000, 250_000
+WORDS, PIECES = 60_000, 500_000
 
 _ENCODE = """
 WITH RECURSIVE state(word, pos, token, after, following, done) AS (
-  SELECT word, pos, token, lead(pos) OVER w, lead(token) OVER w, false FROM start WINDOW w AS (PARTITION BY word ORDER BY pos)
+  SELECT word, pos, token, after, following, false FROM start
   UNION ALL
-  SELECT word, pos, token, lead(pos) OVER w, lead(token) OVER w, settled
-  FROM (
-    SELECT s.word, s.pos, CASE WHEN s.pos = b.best % 1048576 THEN b.best // 1048576 ELSE s.token END AS token, b.best IS NULL AS settled
-    FROM state s LEFT JOIN (
-      SELECT word, min(rank * 1048576 + pos) AS best, arg_min(after, rank * 1048576 + pos) AS gone
-      FROM state JOIN merges ON pair = token * 1048576 + following
+  SELECT s.word, s.pos, CASE WHEN s.pos = b.pos THEN b.made ELSE s.token END, CASE WHEN s.pos = b.pos THEN b.after ELSE s.after END,
+    CASE WHEN s.pos = b.pos THEN b.following WHEN s.after = b.pos THEN b.made ELSE s.following END, b.pos IS NULL
+  FROM state s LEFT JOIN (
+    SELECT x.word, x.best % 1024 AS pos, x.best // 1024 AS made, x.gone, y.after, y.following
+    FROM (
+      SELECT word, min(rank * 1024 + pos) AS best, arg_min(after, rank * 1024 + pos) AS gone
+      FROM state JOIN merges ON pair = token * 1048576::BIGINT + following
       WHERE NOT done GROUP BY word
-    ) b ON s.word = b.word
-    WHERE NOT s.done AND (b.gone IS NULL OR s.pos <> b.gone)
-  )
-  WINDOW w AS (PARTITION BY word ORDER BY pos)
+    ) x JOIN state y ON y.word = x.word AND y.pos = x.gone
+  ) b ON s.word = b.word
+  WHERE NOT s.done AND (b.gone IS NULL OR s.pos <> b.gone)
 )
-SELECT word, token FROM state WHERE done ORDER BY word, pos
+SELECT word, pos, token FROM state WHERE done
 """
 _DECODE = "SELECT seq, string_agg(v.hex, '' ORDER BY pos) AS hex FROM ids JOIN vocabulary v USING (token) GROUP BY seq ORDER BY seq"
 
@@ -64,31 +64,38 @@ class Codec:
         import duckdb
         import regex
 
-        self.ranks, self.cut, self.pieces, self.bytes = ranks, regex.compile(pattern).findall, {}, {v: k for k, v in ranks.items()}
-        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.ranks, self.cut = ranks, regex.compile(pattern).findall
+        self.ids: dict[str, bytes] = {}
+        self.back: dict[str, bytes] = {}
+        self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         joins = [(ranks[z[:k]], ranks[z[k:]], rank) for z, rank in ranks.items() for k in range(1, len(z)) if z[:k] in ranks and z[k:] in ranks]
         left, right, rank = np.array(joins, np.int64).reshape(-1, 3).T
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
-        self.db.register("pairs_in", pa.table({"pair": left * 1048576 + right, "rank": rank}))
+        self.db.register("pairs_in", pa.table({"pair": left * 1048576 + right, "rank": rank.astype(np.int32)}))
         self.db.execute("CREATE TABLE merges AS FROM pairs_in")
-        self.db.register("vocabulary_in", pa.table({"token": pa.array(ranks.values(), pa.int64()), "hex": pa.array([z.hex() for z in ranks])}))
+        self.db.register("vocabulary_in", pa.table({"token": pa.array(ranks.values(), pa.int32()), "hex": pa.array([z.hex() for z in ranks])}))
         self.db.execute("CREATE TABLE vocabulary AS FROM vocabulary_in")
 
-    def contract(self, words: list[bytes]) -> list[np.ndarray]:
+    def contract(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, by the recursive query."""
-        out: list[np.ndarray] = []
+        out: list[bytes] = []
         for i in range(0, len(words), WORDS):
             some = words[i : i + WORDS]
             n = np.array([len(w) for w in some])
-            first = np.cumsum(n) - n
-            word = np.repeat(np.arange(len(some)), n)
-            self.db.register("start", pa.table({"word": word, "pos": np.arange(n.sum()) - first[word], "token": self.single[np.frombuffer(b"".join(some), np.uint8)]}))
+            ends = np.cumsum(n)
+            word, token = np.repeat(np.arange(len(some), dtype=np.int32), n), self.single[np.frombuffer(b"".join(some), np.uint8)]
+            pos = np.arange(len(token), dtype=np.int32) - (ends - n).astype(np.int32)[word]
+            last = np.zeros(len(token), bool)
+            last[ends - 1] = True
+            self.db.register("start", pa.table({"word": word, "pos": pos, "token": token, "after": pa.array(pos + 1, mask=last), "following": pa.array(np.append(token[1:], 0).astype(np.int32), mask=last)}))
             found = self.db.sql(_ENCODE).fetchnumpy()
             self.db.unregister("start")
-            out += np.split(found["token"].astype("<u4"), np.searchsorted(found["word"], np.arange(1, len(some))))
+            order = np.argsort(found["word"].astype(np.int64) * 1024 + found["pos"])
+            ids, stop = found["token"][order].astype("<u4").tobytes(), (4 * np.cumsum(np.bincount(found["word"], minlength=len(some)))).tolist()
+            out += [ids[x:y] for x, y in zip([0, *stop], stop)]  # noqa: B905
         return out
 
-    def contract_long(self, word: bytes) -> np.ndarray:
+    def contract_long(self, word: bytes) -> bytes:
         """The same contraction of one long word: a heap of (rank, position) over a linked list."""
         token, n = [bytes([b]) for b in word], len(word)
         after, before, heap = [*range(1, n), -1], [-1, *range(n - 1)], []
@@ -110,21 +117,20 @@ class Codec:
             after[j] = -1
             offer(before[i])
             offer(i)
-        return np.array([self.ranks[t] for t in token if t], "<u4")
+        return np.array([self.ranks[t] for t in token if t], "<u4").tobytes()
 
     def learn(self, pieces: set[str]) -> None:
         """Encodes pieces not met before and decodes their ids again."""
-        cuts = {p: [w.encode("utf-8", "surrogatepass") for w in self.cut(p)] for p in pieces}
-        words = {w for ws in cuts.values() for w in ws}
-        ids = {w: np.array([self.ranks[w]], "<u4") for w in words if w in self.ranks}
+        order = list(pieces)
+        cuts = [[w.encode("utf-8", "surrogatepass") for w in self.cut(p)] for p in order]
+        words = {w for ws in cuts for w in ws}
+        ids = {w: self.ranks[w].to_bytes(4, "little") for w in words if w in self.ranks}
         short = [w for w in words if w not in ids and len(w) <= LONG]
         ids |= zip(short, self.contract(short), strict=True)
         ids |= {w: self.contract_long(w) for w in words if w not in ids}
-        flat = {w: x.tobytes() for w, x in ids.items()}
-        order = list(cuts)
-        whole = [b"".join(map(flat.__getitem__, cuts[p])) for p in order]
-        for p, x, y in zip(order, whole, self.decode(whole), strict=True):
-            self.pieces[p] = (x, y)
+        whole = [ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for ws in cuts]
+        self.ids.update(zip(order, whole, strict=True))
+        self.back.update(zip(order, self.decode(whole), strict=True))
 
     def decode(self, sequences: list[bytes]) -> list[bytes]:
         """The bytes of sequences of little-endian ids."""
@@ -135,8 +141,8 @@ class Codec:
             if not n.sum():
                 out += [b""] * len(some)
                 continue
-            seq = np.repeat(np.arange(len(some)), n)
-            self.db.register("ids", pa.table({"seq": seq, "pos": np.arange(n.sum()), "token": np.frombuffer(b"".join(some), "<u4").astype(np.int64)}))
+            seq = np.repeat(np.arange(len(some), dtype=np.int32), n)
+            self.db.register("ids", pa.table({"seq": seq, "pos": np.arange(n.sum(), dtype=np.int32), "token": np.frombuffer(b"".join(some), "<u4").astype(np.int32)}))
             found = self.db.sql(_DECODE).fetchnumpy()
             self.db.unregister("ids")
             got = [b""] * len(some)
@@ -146,8 +152,16 @@ class Codec:
         return out
 
 
+#: White space other than space and newline.
+_SPACES = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_AWKWARD = ("  ", " \n", "\n ", "\n\n", "\0", *_SPACES)
+
+
 def split(text: str) -> list[str]:
-    """Pieces that are pre-tokenised alike alone and in the text: cut before single spaces between non-space characters."""
+    """Pieces that are pre-tokenised alike alone and in the text: cut before single spaces between non-space characters,
+    and, where no white space meets other white space, around newlines."""
+    if text[:1] != " " and text[-1:] != " " and not any(x in text for x in _AWKWARD):
+        return [p for p in text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if p]
     out: list[str] = []
     held: list[str] = []  # of a piece that white space still joins with the next
     for i, p in enumerate(text.split(" ")):
@@ -163,10 +177,6 @@ def split(text: str) -> list[str]:
     return out
 
 
-def _codes(column: pa.Array) -> list[str]:
-    return ["" if t is None else t for t in column.to_pylist()]
-
-
 def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids, decoded) per row: ids as little-endian unsigned 32-bit integers, decoded as bytes read back from them."""
     return _run(docs, path, pattern, False)
@@ -190,15 +200,15 @@ def _run(docs: DataFrame, path: str, pattern: str, digest: bool) -> DataFrame:
                     texts.append(split(t))
                     size += len(t)
                     hi += 1
-                if len(codec.pieces) > PIECES:
-                    codec.pieces.clear()
-                new = set().union(*texts).difference(codec.pieces)
+                if len(codec.ids) > PIECES:
+                    codec.ids.clear()
+                    codec.back.clear()
+                new = set().union(*texts).difference(codec.ids)
                 if new:
                     codec.learn(new)
                 n, a, b = [], [], []
                 for t in texts:
-                    got = list(map(codec.pieces.__getitem__, t))
-                    ids, back = b"".join([x for x, _ in got]), b"".join([y for _, y in got])
+                    ids, back = b"".join(map(codec.ids.__getitem__, t)), b"".join(map(codec.back.__getitem__, t))
                     n.append(len(ids) // 4)
                     a.append(hashlib.sha256(ids).hexdigest() if digest else ids)
                     b.append(hashlib.sha256(back).hexdigest() if digest else back)

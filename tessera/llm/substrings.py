@@ -113,12 +113,13 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
     found = table(_seeds(docs, length, -(-length // 2)), "seeds")
     whole = found.groupBy("seed", "w1", "w2").agg(F.count("*").alias("n"))
     fate = whole.groupBy("seed").agg(F.sum("n").alias("total"), F.min("n").alias("least")).where("total > 1")
+    fate = table(fate, "fate")  # so that the join below meets plain exchanges, which Spark splits where skewed
     alive = table(found.join(fate.select("seed", "least"), "seed").where("doc_id IS NOT NULL OR least = 1").select(*KEY, "first", "n", (F.col("least") > 1).alias("whole")), "alive")
     listed = F.collect_list(F.struct("first", "n"))
     open_ = alive.where("NOT whole").groupBy(*KEY).agg(listed.alias("runs")).select(F.col("doc_id").alias("d"), F.col("own").alias("o"), "runs")
     same = (docs["own"] == open_["o"]) & docs["doc_id"].eqNullSafe(open_["d"])
     single = table(_windows(docs.join(open_, same).select("doc_id", "text", "own", "runs"), length), "windows")
-    twice = single.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
+    twice = table(single.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2"), "twice")
     hits = single.join(twice, ["w1", "w2"], "left_semi").select(*KEY, "first", F.lit(1).cast("long").alias("n"))
     every = alive.where("whole").select(*KEY, "first", "n").unionByName(hits).where("doc_id IS NOT NULL")
     return table(every.groupBy(*KEY).agg(listed.alias("spots")), "repeats")

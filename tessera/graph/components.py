@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.lineage import forget, table
+from tessera.plans.lineage import NARROW, forget, table
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
@@ -18,11 +18,12 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     edges = table(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     mark = _mark(edges)
     while True:
+        near = F.broadcast if mark[0] <= NARROW // 2 else lambda df: df  # of fewer rows than twice the edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(near(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u")
+        moved = large.join(near(least), "u")
         after = moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(moved.select("u", F.col("m").alias("v"))).distinct()
         after = table(after, name)
         now = _mark(after)

@@ -59,8 +59,8 @@ def read_attribute(spark: SparkSession, path: str, dtype: str = "<i4") -> DataFr
 
 
 def read_fixed(spark: SparkSession, path: str, fields: dict[str, tuple[int, int, str]]) -> DataFrame:
-    """Fixed-width text lines: name to (first column, length, type)."""
-    cut: list[Column] = [F.trim(F.substring("value", a + 1, n)).cast(t).alias(c) for c, (a, n, t) in fields.items()]
+    """Fixed-width text lines: name to (first column, length, type); what is no value of its type is null."""
+    cut: list[Column] = [F.trim(F.substring("value", a + 1, n)).try_cast(t).alias(c) for c, (a, n, t) in fields.items()]
     return spark.read.text(path).where("trim(value) <> ''").select(*cut)
 
 

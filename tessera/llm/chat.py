@@ -79,14 +79,10 @@ def paths(tree: DataFrame, branches: int = 1) -> DataFrame:
             if 2 ** len(jumps) > 2 * jumps[0].count():
                 break
             limit = len(jumps) + 4
-        one, two = jumps[-1].alias("x"), jumps[-1].alias("y")
+        one, two = jumps[-1].where("up IS NOT NULL").alias("x"), jumps[-1].alias("y")  # the others have arrived
         joined = one.join(two, (F.col("x.conv_id") == F.col("y.conv_id")) & (F.col("x.up") == F.col("y.node")), "left")
-        jumps.append(
-            table(
-                joined.select("x.conv_id", "x.node", F.col("y.up").alias("up"), (F.col("x.far") * 2).alias("far"), (F.col("x.sum") + F.coalesce("y.sum", F.lit(0.0))).alias("sum"), F.coalesce("x.root", "y.root").alias("root")),
-                "jump",
-            )
-        )
+        further = joined.select("x.conv_id", "x.node", F.col("y.up").alias("up"), (F.col("x.far") * 2).alias("far"), (F.col("x.sum") + F.coalesce("y.sum", F.lit(0.0))).alias("sum"), F.coalesce("x.root", "y.root").alias("root"))
+        jumps.append(table(further.unionByName(jumps[-1].where("up IS NULL")), "jump"))
     inner = jumps[0].where("up IS NOT NULL").select("conv_id", F.col("up").alias("node")).distinct()
     leaves = jumps[-1].where("root IS NOT NULL").join(inner, _KEY, "left_anti")
     best = F.row_number().over(Window.partitionBy("conv_id", "root").orderBy(F.desc("sum"), "node"))

@@ -15,7 +15,7 @@ that loses all its lines is left with an empty text, or its blank lines; other c
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,40 +26,76 @@ from pyspark.sql import types as T
 from tessera.llm.hashing import mix
 from tessera.llm.linking import border_links, hub_pairs, open_members
 from tessera.llm.near_dup import similar
-from tessera.llm.support import columns, components, small, table
+from tessera.llm.support import NARROW, columns, components, merged, small, table
 
-SHINGLE, ROWS, BANDS = 8, 4, 12
-_FACTORS = (mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1)
+SHINGLE, ROWS, BANDS, LIKELY = 8, 4, 12, 27
+_FACTORS = (mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SALTS = mix(np.arange(101, 101 + BANDS, dtype=np.uint64))
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def shingles(line: str) -> np.ndarray:
-    """64-bit codes of a line's shingles, with repetitions."""
-    x = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    x += np.where((x >= 65) & (x <= 90), np.uint64(32), np.uint64(0))
-    n = max(1, len(x) - SHINGLE + 1)
-    code = np.full(n, len(x) if len(x) < SHINGLE else SHINGLE, np.uint64)
-    for j in range(min(SHINGLE, len(x))):
-        code *= _BASE
-        code += x[j : j + n]
-    return mix(code)
-
-
-def signature(line: str) -> np.ndarray:
-    short = (shingles(line) >> np.uint64(32)).astype(np.uint32)
-    out = np.full(ROWS * BANDS, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(short), 4096):
-        np.minimum(out, (short[None, i : i + 4096] * _FACTORS).min(axis=1), out=out)
+
+
+def _laid(lines: list[str], kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A polynomial over every SHINGLE characters of the lines laid end to end, and where each line's shingles start and stop."""
+    n = np.maximum([len(x) for x in lines], SHINGLE)
+    text = "\n".join([x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines])
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(kind)
+    x[(x >= 65) & (x <= 90)] += kind(32)
+    code, base = x[: len(x) - SHINGLE + 1].copy(), kind(0x9E3779B97F4A7C15 >> (64 - 8 * x.itemsize) | 1)
+    for j in range(1, SHINGLE):
+        code *= base
+        code += x[j : j + len(code)]
+    starts = np.cumsum(n + 1) - n - 1
+    return code, starts, starts + n - SHINGLE + 1
+
+
+def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit codes of all lines' shingles, and where each line's start and stop; what lies between lines means nothing."""
+    code, starts, stops = _laid(lines, np.uint64)
+    return mix(code), starts, stops
+
+
+def _short(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with 32-bit codes, mixed as MurmurHash3 does: enough for signatures, which are verified."""
+    x, starts, stops = _laid(lines, np.uint32)
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(16)
+    return x, starts, stops
+
+
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """Each line's sorted distinct shingle codes."""
+    if not lines:
+        return []
+    codes, starts, stops = shingles(lines)
+    return [np.unique(codes[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """ROWS * BANDS MinHash values of each line."""
+    out, lo = np.empty((len(lines), ROWS * BANDS), np.uint32), 0
+    while lo < len(lines):
+        hi, size = lo, 0
+        while hi < len(lines) and (hi == lo or size < 100_000):  # characters at a time, to stay in cache
+            size += len(lines[hi])
+            hi += 1
+        codes, starts, stops = _short(lines[lo:hi])
+        short = np.append(codes, np.uint32(0xFFFFFFFF))
+        at, hashed = np.column_stack([starts, stops]).ravel(), np.empty_like(short)
+        for k, f in enumerate(_FACTORS):
+            np.multiply(short, f, out=hashed)
+            out[lo:hi, k] = np.minimum.reduceat(hashed, at)[::2]
+        lo = hi
     return out
 
 
 def bands(signs: np.ndarray) -> np.ndarray:
-    """The buckets of a signature."""
-    pairs = signs.view(np.uint64).reshape(BANDS, ROWS // 2)
-    code = _SALTS.copy()
+    """The buckets of signatures, a row each."""
+    pairs = np.ascontiguousarray(signs).view(np.uint64).reshape(len(signs), BANDS, ROWS // 2)
+    code = np.broadcast_to(_SALTS, (len(signs), BANDS))
     for j in range(ROWS // 2):
-        code = mix(code ^ pairs[:, j])
+        code = mix(code ^ pairs[:, :, j])
     return code.view(np.int64)
 
 
@@ -71,25 +107,32 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
         seen: set[int] = set()
         for batch in rows:
-            ids, who, where, found, size, mask = [], [], [], [], [0], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for n, line in enumerate((text or "").split("\n")):
-                    if not line or line.isspace():
-                        continue
-                    h = xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)  # as Spark's xxhash64()
-                    ids.append(h)
-                    who.append(i)
-                    where.append(n)
-                    mask.append(h in seen)
-                    if not mask[-1]:
-                        seen.add(h)
-                        found.append(bands(signature(line)))
-                    size.append(len(found) * BANDS)
-            if len(seen) > 1_000_000:
-                seen.clear()
-            who_ = pa.array(who, pa.int32())
-            lists = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)), mask=pa.array(mask, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), batch.column(0).take(who_), batch.column(2).take(who_), pa.array(where, pa.int32()), lists], ["id", "doc_id", "own", "line", "bands"])
+            lo = 0
+            while lo < batch.num_rows:
+                ids, who, where, found, size, mask, held = [], [], [], [], [0], [], 0
+                hi = lo
+                while hi < batch.num_rows and (hi == lo or held < 4_000_000):  # characters at a time
+                    text = batch.column(1)[hi].as_py() or ""
+                    held += len(text)
+                    for n, line in enumerate(text.split("\n")):
+                        if not line or line.isspace():
+                            continue
+                        h = xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)  # as Spark's xxhash64()
+                        ids.append(h)
+                        who.append(hi)
+                        where.append(n)
+                        mask.append(h in seen)
+                        if not mask[-1]:
+                            seen.add(h)
+                            found.append(line)
+                        size.append(len(found) * BANDS)
+                    hi += 1
+                lo = hi
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                who_ = pa.array(who, pa.int32())
+                lists = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(bands(signatures(found)).ravel()), mask=pa.array(mask, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), batch.column(0).take(who_), batch.column(2).take(who_), pa.array(where, pa.int32()), lists], ["id", "doc_id", "own", "line", "bands"])
 
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text", "own").mapInArrow(run, "id long, doc_id long, own long, line int, bands array<long>")
 
@@ -100,8 +143,9 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                keep[i] = similar(np.unique(shingles(x.as_py())), np.unique(shingles(y.as_py())), percent)
+            for at in range(0, batch.num_rows, 256):
+                x, y = (shingle_sets(batch.column(k).slice(at, 256).to_pylist()) for k in (2, 3))
+                keep[at : at + 256] = [similar(p, q, percent) for p, q in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in range(2)], ["a", "b"])
 
     one, two = (texts.select(F.col("id").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
@@ -109,20 +153,46 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 class Members:
-    """The lines of a block, for border_links()."""
+    """The lines of a block, for border_links(): a signature, then the line."""
 
     def __init__(self, blobs: list[bytes], percent: int):
-        texts = [b.decode("utf-8", "surrogatepass") for b in blobs]
-        self.signs, self.sets, self.percent = np.array([signature(t) for t in texts]), [np.unique(shingles(t)) for t in texts], percent
-        self.keys = np.array([bands(s) for s in self.signs])
-
-    def likely(self, i: np.ndarray, j: np.ndarray, bucket: int) -> np.ndarray:
-        same = self.keys[i] == self.keys[j]
-        first = same.argmax(1)  # the first bucket that both share: every pair is tested once
-        # A similarity of 0.8 agrees in fewer than half of 48 places once in a million.
-        return same.any(1) & (self.keys[i, first] == bucket) & ((self.signs[i] == self.signs[j]).mean(1) >= 0.5)
+        n = 4 * ROWS * BANDS
+        self.signs, self.percent = np.frombuffer(b"".join(x[:n] for x in blobs), np.uint32).reshape(len(blobs), -1), percent
+        self.short = self.signs.astype(np.uint16)
+        self.texts, self.sets = [x[n:] for x in blobs], {}
+
+    def likely(self, i: int, bucket: int) -> np.ndarray:
+        # A similarity of 0.8 agrees in fewer than LIKELY of its places six times in 100,000.
+        j = i + 1 + np.flatnonzero((self.short[i + 1 :] == self.short[i]).sum(1) >= LIKELY)
+        if not len(j):
+            return j
+        same = self.keys[j] == self.keys[i]
+        return j[same.any(1) & (self.keys[i, same.argmax(1)] == bucket)]  # in the first bucket that both share
+
+    @cached_property
+    def keys(self) -> np.ndarray:
+        return bands(self.signs)
+
+    def set(self, i: int) -> np.ndarray:
+        if i not in self.sets:
+            self.sets[i] = shingle_sets([self.texts[i].decode("utf-8", "surrogatepass")])[0]
+        return self.sets[i]
 
     def linked(self, i: int, j: int) -> bool:
+        return similar(self.set(i), self.set(j), self.percent)
+
+
+def _blobs(texts: DataFrame) -> DataFrame:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            texts = batch.column(1).to_pylist()
+            out = [s.tobytes() + t.encode("utf-8", "surrogatepass") for s, t in zip(signatures(texts), texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "blob"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, blob binary")
+
+
+def linked(self, i: int, j: int) -> bool:
         return similar(self.sets[i], self.sets[j], self.percent)
 
 
@@ -133,21 +203,24 @@ def linked(docs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     pairs = table(pairs, "pairs")
     wanted = table(members.select("id").distinct(), "wanted")
     every = docs.where("doc_id IS NOT NULL").select(F.explode(F.split("text", "\n")).alias("text")).withColumn("id", F.xxhash64("text"))
-    texts = table(every.join(small(wanted), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "lines")
+    texts = table(every.join(small(wanted, NARROW), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "lines")
     links = table(verified(pairs, texts, percent), "verified")
-    labels = components(links)
+    labels = table(components(links), "labels")
     rest = open_members(members, labels)
-    held = texts.join(rest.select("id").distinct(), "id", "left_semi").select("id", F.encode("text", "UTF-8").alias("blob"))
-    return components(links.unionByName(table(border_links(rest, held, partial(Members, percent=percent)), "border")))
+    held = table(_blobs(texts.join(rest.select("id").distinct(), "id", "left_semi")), "blobs")
+    more = table(border_links(rest, held, partial(Members, percent=percent)), "border")
+    return merged(labels, more)
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, own, gone): per document the numbers of the lines that go, in order; own is the xxhash64 of its text."""
     docs = columns(docs, "doc_id", "text").withColumn("own", F.xxhash64("text"))
     found = table(occurrences(docs), "occurrences")
-    labels = linked(docs, found, percent)
-    of = table(found.select("id", "doc_id", "own", "line").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).drop("id"), "labelled")
-    first = of.groupBy("label").agg(F.min(F.struct("doc_id", "own", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("label", "first")
+    labels = table(linked(docs, found, percent), "labels")
+    of = found.select("id", "doc_id", "own", "line").join(small(labels, NARROW), "id", "left").withColumn("label", F.coalesce("label", "id")).drop("id")
+    several = table(of.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label"), "several")
+    of = table(of.join(small(several, NARROW), "label"), "occurring")
+    first = table(of.groupBy("label").agg(F.min(F.struct("doc_id", "own", "line")).alias("first")), "first")
     gone = of.join(first, "label").where(F.struct("doc_id", "own", "line") != F.col("first"))
     return gone.groupBy("doc_id", "own").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.support import small, table
+from tessera.llm.support import NARROW, small, table
 
 
 def hub_pairs(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -21,7 +22,7 @@ def hub_pairs(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
     of k members yields k - 1 pairs.
     """
     several = table(posted.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket"), "buckets")
-    members = table(posted.join(small(several), "bucket").select("bucket", "id").distinct(), "members")
+    members = table(posted.join(small(several, NARROW), "bucket").select("bucket", "id").distinct(), "members")
     sized = table(members.join(members.groupBy("bucket").agg(F.count("*").alias("size")), "bucket"), "sized")
     fame = sized.groupBy("id").agg(F.sum("size").alias("fame"))
     hubs = sized.join(fame, "id").groupBy("bucket").agg(F.max(F.struct("fame", "id"))["id"].alias("hub"))
@@ -32,8 +33,8 @@ def hub_pairs(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
 class Judge(Protocol):
     """What decides about the pairs of a block; built from the blobs of its members."""
 
-    def likely(self, i: np.ndarray, j: np.ndarray, bucket: int) -> np.ndarray:
-        """Which row pairs are worth a test in this bucket: each pair of similar members must be so in one they share."""
+    def likely(self, i: int, bucket: int) -> np.ndarray:
+        """Members after i that are worth a test with it in this bucket: each similar pair must be so in one it shares."""
 
     def linked(self, i: int, j: int) -> bool:
         """Whether two members are similar, by their whole sets."""
@@ -49,7 +50,7 @@ def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
 def border_links(rest: DataFrame, blobs: DataFrame, judge: Callable[[list[bytes]], Judge], block: int = 256, size: int = 8 << 20) -> DataFrame:
     """Distinct links (a, b) between components, out of open_members() and their blobs (id, blob).
 
-    Buckets are split into blocks of about `block` members and `size` bytes, and every two blocks meet in one task, which
+    Buckets are split into blocks of about `block` members and `size` bytes, and every two blocks meet in one place, which
     keeps its own union-find and gives back only links that join two of its components: fewer than it has members.
     """
     rest = rest.join(blobs.select("id", F.length("blob").alias("weight")), "id")
@@ -58,26 +59,45 @@ def border_links(rest: DataFrame, blobs: DataFrame, judge: Callable[[list[bytes]
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(blobs, "id")
     rest = rest.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "label", "blob")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, label = rows["id"].to_numpy(), rows["label"].to_numpy()
-        own, root = judge([bytes(b) for b in rows["blob"]]), {}
-        bucket, out = int(rows["bucket"].iloc[0]), []
-
-        def top(x: int) -> int:
-            while (y := root.get(x, x)) != x:
-                x = y
-            return x
-
-        i, j = np.triu_indices(len(ids), 1)
-        differ = label[i] != label[j]
-        i, j = i[differ], j[differ]
-        for at in range(0, len(i), 1 << 13):
-            x, y = i[at : at + (1 << 13)], j[at : at + (1 << 13)]
-            keep = own.likely(x, y, bucket)
-            for a, b in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
-                if (p := top(label[a])) != (q := top(label[b])) and own.linked(a, b):
-                    root[p] = q
-                    out.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
-        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
-
-    return rest.groupBy("bucket", "x", "y").applyInPandas(run, "a long, b long").distinct()
+    rest = rest.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held = ["a", "b"], None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if held is None:
+                continue
+            key = np.column_stack([held[c].to_numpy() for c in ("bucket", "x", "y")])
+            ends = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            if batch is None:
+                ends = np.append(ends, len(key))
+            ids, label, blob, lo, out = held["id"].to_numpy(), held["label"].to_numpy(), held["blob"], 0, []
+            for hi in ends.tolist():
+                if hi - lo > 1:
+                    out += _joining(ids[lo:hi].tolist(), label[lo:hi], judge(blob.slice(lo, hi - lo).to_pylist()), int(key[lo, 0]))
+                lo = hi
+            held = held.slice(lo)
+            found = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names)
+
+    return rest.mapInArrow(run, "a long, b long").distinct()
+
+
+def _joining(ids: list[int], label: np.ndarray, judge: Judge, bucket: int) -> list[tuple[int, int]]:
+    """Links that join components of one block."""
+    root: dict[int, int] = {}
+    out = []
+
+    def top(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            x = y
+        return x
+
+    for i in range(len(ids) - 1):
+        j = judge.likely(i, bucket)
+        for k in j[label[j] != label[i]].tolist():
+            if (p := top(label[i])) != (q := top(label[k])) and judge.linked(i, k):
+                root[p] = q
+                out.append((ids[i], ids[k]))
+    return out

@@ -204,12 +204,12 @@ class Members:
         self.bands, self.sets = self.registers.view(np.uint64), [np.frombuffer(x, np.uint64, offset=n) for x in blobs]
         self.sizes, self.least, self.percent = np.array([len(s) for s in self.sets]), least, percent
 
-    def likely(self, i: np.ndarray, j: np.ndarray, bucket: int) -> np.ndarray:
-        same = self.bands[i] == self.bands[j]
+    def likely(self, i: int, bucket: int) -> np.ndarray:
+        j = i + 1 + np.flatnonzero((self.registers[i + 1 :] == self.registers[i]).mean(1) >= self.least - 0.05)  # looser than the likelihood
+        same = self.bands[j] == self.bands[i]
         first = same.argmax(1)  # the first band that both share: every pair is tested in one bucket
-        keep = same.any(1) & (band_keys(self.bands[i, first], first).view(np.int64) == bucket)
-        keep[keep] = SKETCH.jaccard(self.registers[i[keep]], self.registers[j[keep]], self.sizes[i[keep]], self.sizes[j[keep]]) >= self.least
-        return keep
+        j = j[same.any(1) & (band_keys(self.bands[i, first], first).view(np.int64) == bucket)]
+        return j[SKETCH.jaccard(np.repeat(self.registers[i : i + 1], len(j), 0), self.registers[j], np.full(len(j), self.sizes[i]), self.sizes[j]) >= self.least]
 
     def linked(self, i: int, j: int) -> bool:
         return similar(self.sets[i], self.sets[j], self.percent)

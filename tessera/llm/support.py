@@ -1,45 +1,14 @@
-"""Shared plumbing: written tables that cut lineage, checked broadcasts, distributed union-find."""
+"""Shared plumbing of this subpackage, on top of the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.graph.components import components
+from tessera.plans.lineage import NARROW, forget, shared_dir, small, table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: later steps neither recompute it nor depend on an executor."""
-    path = f"{shared_dir(df.sparkSession)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    again = df.sparkSession.read.schema(df.schema).parquet(path)
-    again._tessera_path = path
-    return again
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes a table() that no result depends on any more."""
-    spark, path = df.sparkSession, df._tessera_path
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """Marks df for broadcast if it was counted to hold at most so many rows; else it is left to a shuffled join.
-
-    df should be cheap to count: a table(), or an aggregate of one.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+__all__ = ["NARROW", "columns", "components", "forget", "merged", "shared_dir", "small", "table"]
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:
@@ -47,31 +16,13 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(df[n] for n in names))
 
 
-def components(links: DataFrame, name: str = "links") -> DataFrame:
-    """(id, label): the smallest id that each id of links (a, b) reaches. Distributed union-find.
-
-    Alternates the large-star and small-star steps of Kiveris et al. (2014), each a min per node and a join, until
-    nothing moves; the number of rounds grows with the logarithm of the longest path. Every round is a written table.
-    Ids are long; a row with a = b or a null is ignored, and repeated rows count once.
-    """
-    edges = table(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    mark = _mark(edges)
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u")
-        after = moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(moved.select("u", F.col("m").alias("v"))).distinct()
-        after = table(after, name)
-        now = _mark(after)
-        forget(edges)
-        edges = after
-        if now == mark:
-            break
-        mark = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())
-
-
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 7L))")).first())
+def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """components() of the links behind labels and of more (a, b) together: only labels are contracted any further."""
+    for k in "ab":
+        of = labels.select(F.col("id").alias(k), F.col("label").alias(f"l{k}"))
+        more = more.join(of, k, "left").withColumn(f"l{k}", F.coalesce(f"l{k}", k))
+    ends = table(more.select("a", "b", F.col("la").alias("la"), F.col("lb").alias("lb")), "ends")
+    moved = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")), "label-links").select(F.col("id").alias("label"), F.col("label").alias("now"))
+    alone = ends.select(F.col("a").alias("id"), F.col("la").alias("label")).unionByName(ends.select(F.col("b").alias("id"), F.col("lb").alias("label"))).where("id = label").distinct()
+    every = labels.unionByName(alone).distinct()
+    return every.join(moved, "label", "left").select("id", F.coalesce("now", "label").alias("label"))

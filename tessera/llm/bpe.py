@@ -24,11 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.support import columns
+from tessera.llm.support import columns, tidy
 
 LONG = 400  # under 1024, by which the query packs rank and position
 #: Words that one recursive query takes, and pieces that a task keeps.
-WORDS, PIECES = 60_000, 500_000
+WORDS, PIECES = 30_000, 400_000
 
 _ENCODE = """
 WITH RECURSIVE state(word, pos, token, after, following, done) AS (
@@ -220,4 +220,4 @@ def _run(docs: DataFrame, path: str, pattern: str, digest: bool) -> DataFrame:
                 lo = hi
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids binary, decoded binary"
-    return columns(docs, "doc_id", "text").mapInArrow(run, schema)
+    return columns(docs, "doc_id", "text").mapInArrow(tidy(run), schema)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.hashing import buffers
-from tessera.llm.support import columns
+from tessera.llm.support import columns, tidy
 
 BUCKETS = 1 << 15
 #: More languages than this raise an error: the model must fit the driver and each task.
@@ -72,7 +72,7 @@ def train(docs: DataFrame) -> Model:
         return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "counts": [n.tobytes()]})
 
     known = columns(docs, "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    sums = known.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = known.mapInArrow(tidy(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = sums.groupBy("lang").applyInPandas(pack, "lang string, counts binary").limit(LANGUAGES + 1).collect()
     if len(found) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
@@ -133,7 +133,7 @@ def predict(docs: DataFrame, model: Model, *keep: str | Column) -> DataFrame:
                 [*names_kept, "lang_pred", "score", "mixture"],
             )
 
-    return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def lettered(text: str | None) -> bool:

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from tessera.llm.hashing import mix
 from tessera.llm.linking import border_links, hub_pairs, open_members
 from tessera.llm.near_dup import similar
-from tessera.llm.support import NARROW, columns, components, merged, small, table
+from tessera.llm.support import NARROW, columns, components, merged, small, table, tidy
 
 SHINGLE, ROWS, BANDS, LIKELY = 8, 4, 12, 27
 _FACTORS = (mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -134,7 +134,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(bands(signatures(found)).ravel()), mask=pa.array(mask, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), batch.column(0).take(who_), batch.column(2).take(who_), pa.array(where, pa.int32()), lists], ["id", "doc_id", "own", "line", "bands"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", "own").mapInArrow(run, "id long, doc_id long, own long, line int, bands array<long>")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", "own").mapInArrow(tidy(run), "id long, doc_id long, own long, line int, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -149,7 +149,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in range(2)], ["a", "b"])
 
     one, two = (texts.select(F.col("id").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long")
 
 
 class Members:
@@ -189,7 +189,7 @@ def _blobs(texts: DataFrame) -> DataFrame:
             out = [s.tobytes() + t.encode("utf-8", "surrogatepass") for s, t in zip(signatures(texts), texts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "blob"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, blob binary")
+    return texts.select("id", "text").mapInArrow(tidy(run), "id long, blob binary")
 
 
 def linked(self, i: int, j: int) -> bool:
@@ -235,7 +235,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)] + made)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in (b.slice(i, 500) for b in rows for i in range(0, b.num_rows, 500)):
             texts, total, removed = [], [], []
             for text, gone in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 lines = [] if text is None else text.split("\n")
@@ -248,4 +248,4 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
             held = [*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 : len(names)]]
             yield pa.RecordBatch.from_arrays([*held, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], schema.names)
 
-    return joined.toDF(*names, "__gone").mapInArrow(run, schema).toDF(*docs.columns, "n_lines", "n_removed")
+    return joined.toDF(*names, "__gone").mapInArrow(tidy(run), schema).toDF(*docs.columns, "n_lines", "n_removed")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.support import NARROW, small, table
+from tessera.llm.support import NARROW, small, table, tidy
 
 
 def hub_pairs(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,7 +81,7 @@ def border_links(rest: DataFrame, blobs: DataFrame, judge: Callable[[list[bytes]
             found = np.array(out, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names)
 
-    return rest.mapInArrow(run, "a long, b long").distinct()
+    return rest.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _joining(ids: list[int], label: np.ndarray, judge: Judge, bucket: int) -> list[tuple[int, int]]:

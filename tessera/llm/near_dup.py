@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.hashing import Words, batches, mix
 from tessera.llm.linking import border_links, hub_pairs, open_members
-from tessera.llm.support import columns, components, small, table
+from tessera.llm.support import columns, components, small, table, tidy
 
 
 @dataclass(frozen=True)
@@ -128,7 +128,7 @@ def sketches(docs: DataFrame, k: int = 5) -> DataFrame:
                     ["doc_id", "n_shingles", "d1", "d2", "registers"],
                 )
 
-    return columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, registers binary")
+    return columns(docs, "doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, d1 long, d2 long, registers binary")
 
 
 def band_keys(bands: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -154,7 +154,7 @@ def postings(reps: DataFrame, rows: int = 8) -> DataFrame:
             keys = band_keys(bands, np.arange(n)[None, :])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), n))], ["bucket", "id"])
 
-    return reps.select("id", "registers").mapInArrow(run, "bucket long, id long")
+    return reps.select("id", "registers").mapInArrow(tidy(run), "bucket long, id long")
 
 
 def likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -170,7 +170,7 @@ def likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
             keep = pa.array(SKETCH.jaccard(matrix(2), matrix(4), batch.column(3).to_numpy(), batch.column(5).to_numpy()) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ra", "na", "rb", "nb").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ra", "na", "rb", "nb").mapInArrow(tidy(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -192,7 +192,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
     texts = columns(docs, "doc_id", "text")
     one, two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 class Members:
@@ -225,7 +225,7 @@ def blobs(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(out, pa.binary())], ["id", "blob"])
 
     texts = columns(docs, "doc_id", "text").withColumnRenamed("doc_id", "id").join(small(ids), "id", "left_semi")
-    return texts.select("id", "text").mapInArrow(run, "id long, blob binary").dropDuplicates(["id"])
+    return texts.select("id", "text").mapInArrow(tidy(run), "id long, blob binary").dropDuplicates(["id"])
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:

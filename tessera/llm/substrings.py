@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.hashing import Words, batches, prefix, spans
-from tessera.llm.support import columns, small, table
+from tessera.llm.support import columns, small, table, tidy
 
 
 def leftmost_least(codes: np.ndarray, width: int) -> np.ndarray:
@@ -74,7 +74,7 @@ def _seeds(docs: DataFrame, length: int, seed: int) -> DataFrame:
                 ids = (c.slice(lo, hi - lo).take(pa.array(row)) for c in (batch.column(0), batch.column(2)))
                 yield pa.RecordBatch.from_arrays([*ids, *(pa.array(x) for x in (first, n, code, w1, w2))], ["doc_id", "own", "first", "n", "seed", "w1", "w2"])
 
-    return docs.select("doc_id", "text", "own").mapInArrow(run, "doc_id long, own long, first long, n long, seed long, w1 long, w2 long")
+    return docs.select("doc_id", "text", "own").mapInArrow(tidy(run), "doc_id long, own long, first long, n long, seed long, w1 long, w2 long")
 
 
 def _windows(docs: DataFrame, length: int) -> DataFrame:
@@ -97,7 +97,7 @@ def _windows(docs: DataFrame, length: int) -> DataFrame:
                 codes = [spans(prefix(found.codes, s), start, length, s).view(np.int64) for s in (0, 1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(2).take(pa.array(row)), pa.array(first), *(pa.array(c) for c in codes)], ["doc_id", "own", "first", "w1", "w2"])
 
-    return docs.mapInArrow(run, "doc_id long, own long, first long, w1 long, w2 long")
+    return docs.mapInArrow(tidy(run), "doc_id long, own long, first long, w1 long, w2 long")
 
 
 KEY = ["doc_id", "own"]
@@ -159,7 +159,7 @@ def remove(docs: DataFrame, length: int = 35, digest: bool = False) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names)
 
     names = ["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "kept"]
-    return joined.mapInArrow(run, f"doc_id long, n_words long, n_removed long, {names[3]} string")
+    return joined.mapInArrow(tidy(run), f"doc_id long, n_words long, n_removed long, {names[3]} string")
 
 
 def levels(docs: DataFrame, length: int = 35) -> DataFrame:

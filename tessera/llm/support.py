@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.graph.components import components
 from tessera.plans.lineage import NARROW, forget, shared_dir, small, table
 
-__all__ = ["NARROW", "columns", "components", "forget", "merged", "shared_dir", "small", "table"]
+__all__ = ["NARROW", "columns", "components", "forget", "merged", "shared_dir", "small", "table", "tidy"]
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:
@@ -26,3 +31,20 @@ def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
     alone = ends.select(F.col("a").alias("id"), F.col("la").alias("label")).unionByName(ends.select(F.col("b").alias("id"), F.col("lb").alias("label"))).where("id = label").distinct()
     every = labels.unionByName(alone).distinct()
     return every.join(moved, "label", "left").select("id", F.coalesce("now", "label").alias("label"))
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving back a task's memory at its end: Spark keeps Python workers for later stages."""
+
+    def wrapped(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(rows)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return wrapped

@@ -29,6 +29,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; on codes a sort is some ten times as fast as np.unique()."""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=keep[1:])
+    return x[keep]
+
+
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two arrays of distinct values share."""
+    both = np.concatenate([x, y])
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 _CODES = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _LOWER = _CODES.copy()
 _LOWER[65:91] = _CODES[97:123]

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cached_property, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.hashing import mix
+from tessera.llm.hashing import distinct, mix
 from tessera.llm.linking import border_links, hub_pairs, open_members
 from tessera.llm.near_dup import similar
 from tessera.llm.support import NARROW, columns, components, merged, small, table, tidy
@@ -69,7 +70,7 @@ def shingle_sets(lines: list[str]) -> list[np.ndarray]:
     if not lines:
         return []
     codes, starts, stops = shingles(lines)
-    return [np.unique(codes[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+    return [distinct(codes[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
 
 
 def signatures(lines: list[str]) -> np.ndarray:
@@ -91,25 +92,64 @@ def signatures(lines: list[str]) -> np.ndarray:
 
 
 def bands(signs: np.ndarray) -> np.ndarray:
-    """The buckets of signatures, a row each."""
+    """The buckets of signatures, a row each: even numbers, so that postings() has a bit for itself."""
     pairs = np.ascontiguousarray(signs).view(np.uint64).reshape(len(signs), BANDS, ROWS // 2)
     code = np.broadcast_to(_SALTS, (len(signs), BANDS))
     for j in range(ROWS // 2):
         code = mix(code ^ pairs[:, :, j])
-    return code.view(np.int64)
+    return (code & ~np.uint64(1)).view(np.int64)
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(id, doc_id, own, line, bands): a row per line that takes part; bands at the first occurrence in a task, else null."""
+_FOUND = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("own", pa.int64()), ("line", pa.int32()), ("bucket", pa.int64()), ("part", pa.int32()), ("posts", pa.binary())])
+
+
+def _rows(n: int, **given: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([given.get(f.name, pa.nulls(n, f.type)) for f in _FOUND], schema=_FOUND)
+
+
+def _posted(ids: np.ndarray, buckets: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Postings of distinct lines: one of each bucket, packed by ranges of buckets, and all others of it as members."""
+    bucket, n = buckets.ravel().view(np.uint64), buckets.size
+    order = np.argsort(bucket)
+    bucket, line = bucket[order], ids[order // BANDS]
+    first = np.ones(n, bool)
+    first[1:] = bucket[1:] != bucket[:-1]
+    at, rest = np.flatnonzero(first), np.flatnonzero(~first)
+    met = np.diff(np.append(at, n)) > 1
+    if len(rest):
+        yield _rows(len(rest), id=pa.array(line[rest].view(np.int64)), bucket=pa.array(bucket[rest].view(np.int64)))
+    posts = np.column_stack([bucket[at] | met.astype(np.uint64), line[at]])
+    cut = np.searchsorted((posts[:, 0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+    used = np.flatnonzero(np.diff(cut))
+    offsets = (np.append(cut[used], len(posts)) * 16).astype(np.int32)
+    yield _rows(len(used), part=pa.array(used.astype(np.int32)), posts=pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(offsets), pa.py_buffer(posts)]))
+
+
+def parts(docs: DataFrame) -> int:
+    """Ranges of buckets: four a shuffle partition, and one per 64 MB of input at least, where its size is known."""
+    held = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = held >> 26 if held < 1 << 60 else 0
+    return max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(known, 1 << 21))
+
+
+def occurrences(docs: DataFrame, ranges: int) -> DataFrame:
+    """Rows of three kinds. (id, doc_id, own, line): a line that takes part. (bucket, id): a member of a bucket that is known
+    to hold several lines. (part, posts): postings of a task's distinct lines to a range of buckets, one a bucket, as pairs of
+    64-bit numbers: the bucket, plus one where the task has members of it, and the line's id.
+
+    So a bucket, however many lines it holds, has no more postings than the tasks have had runs of 150,000 lines.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         seen: set[int] = set()
-        for batch in rows:
+        fresh: list[int] = []
+        held_bands: list[np.ndarray] = []
+        for batch in chain(rows, [None]):
             lo = 0
-            while lo < batch.num_rows:
-                ids, who, where, found, size, mask, held = [], [], [], [], [0], [], 0
+            while batch is not None and lo < batch.num_rows:
+                ids, who, where, found, held = [], [], [], [], 0
                 hi = lo
                 while hi < batch.num_rows and (hi == lo or held < 4_000_000):  # characters at a time
                     text = batch.column(1)[hi].as_py() or ""
@@ -121,20 +161,54 @@ def occurrences(docs: DataFrame) -> DataFrame:
                         ids.append(h)
                         who.append(hi)
                         where.append(n)
-                        mask.append(h in seen)
-                        if not mask[-1]:
+                        if h not in seen:
                             seen.add(h)
+                            fresh.append(h)
                             found.append(line)
-                        size.append(len(found) * BANDS)
                     hi += 1
                 lo = hi
+                if found:
+                    held_bands.append(bands(signatures(found)))
+                who_ = pa.array(who, pa.int32())
+                yield _rows(len(ids), id=pa.array(np.array(ids, np.uint64).view(np.int64)), doc_id=batch.column(0).take(who_), own=batch.column(2).take(who_), line=pa.array(where, pa.int32()))
+            if fresh and (batch is None or len(fresh) > 150_000):
+                yield from _posted(np.array(fresh, np.uint64), np.concatenate(held_bands), ranges)
+                fresh, held_bands = [], []
                 if len(seen) > 1_000_000:
                     seen.clear()
-                who_ = pa.array(who, pa.int32())
-                lists = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(bands(signatures(found)).ravel()), mask=pa.array(mask, pa.bool_()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), batch.column(0).take(who_), batch.column(2).take(who_), pa.array(where, pa.int32()), lists], ["id", "doc_id", "own", "line", "bands"])
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", "own").mapInArrow(tidy(run), "id long, doc_id long, own long, line int, bands array<long>")
+    types = "id long, doc_id long, own long, line int, bucket long, part int, posts binary"
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text", "own").mapInArrow(tidy(run), types)
+
+
+def members(found: DataFrame) -> DataFrame:
+    """Distinct (bucket, id) of buckets that hold several lines, from occurrences()."""
+
+    def buckets(blobs: list[bytes]) -> pa.RecordBatch:
+        posts = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, 2)
+        bucket = posts[:, 0] & ~np.uint64(1)
+        order = np.argsort(bucket)
+        bucket, met, line = bucket[order], posts[order, 0] & np.uint64(1), posts[order, 1]
+        at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        several = (np.maximum.reduceat(met, at) > 0) | (np.minimum.reduceat(line, at) != np.maximum.reduceat(line, at))
+        keep = np.repeat(several, np.diff(np.append(at, len(line))))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[keep].view(np.int64)), pa.array(line[keep].view(np.int64))], ["bucket", "id"])
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blobs = -1, []
+        for batch in rows:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != now and blobs:
+                    yield buckets(blobs)
+                    blobs = []
+                now = part
+                blobs.append(blob)
+        if blobs:
+            yield buckets(blobs)
+
+    packed = found.where("part IS NOT NULL").select("part", "posts").repartition("part").sortWithinPartitions("part")
+    known = found.where("bucket IS NOT NULL").select("bucket", "id")
+    return known.unionByName(packed.mapInArrow(tidy(run), "bucket long, id long")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -143,9 +217,12 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             keep = np.zeros(batch.num_rows, bool)
-            for at in range(0, batch.num_rows, 256):
-                x, y = (shingle_sets(batch.column(k).slice(at, 256).to_pylist()) for k in (2, 3))
-                keep[at : at + 256] = [similar(p, q, percent) for p, q in zip(x, y, strict=True)]
+            for at in range(0, batch.num_rows, 512):  # a line that several pairs share is read once
+                part = batch.slice(at, 512)
+                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
+                texts = dict(zip(a, part.column(2).to_pylist(), strict=True)) | dict(zip(b, part.column(3).to_pylist(), strict=True))
+                sets = dict(zip(texts, shingle_sets(list(texts.values())), strict=True))
+                keep[at : at + 512] = [similar(sets[x], sets[y], percent) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in range(2)], ["a", "b"])
 
     one, two = (texts.select(F.col("id").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
@@ -161,9 +238,20 @@ class Members:
         self.short = self.signs.astype(np.uint16)
         self.texts, self.sets = [x[n:] for x in blobs], {}
 
-    def likely(self, i: int, bucket: int) -> np.ndarray:
+    def prepare(self, wanted: list[int]) -> None:
+        lo = 0
+        while lo < len(wanted):
+            hi, lines, size = lo, [], 0
+            while hi < len(wanted) and (hi == lo or size < 500_000):  # bytes at a time
+                lines.append(self.texts[wanted[hi]].decode("utf-8", "surrogatepass"))
+                size += len(self.texts[wanted[hi]])
+                hi += 1
+            self.sets.update(zip(wanted[lo:hi], shingle_sets(lines), strict=True))
+            lo = hi
+
+    def likely(self, i: int, start: int, bucket: int) -> np.ndarray:
         # A similarity of 0.8 agrees in fewer than LIKELY of its places six times in 100,000.
-        j = i + 1 + np.flatnonzero((self.short[i + 1 :] == self.short[i]).sum(1) >= LIKELY)
+        j = start + np.flatnonzero((self.short[start:] == self.short[i]).sum(1) >= LIKELY)
         if not len(j):
             return j
         same = self.keys[j] == self.keys[i]
@@ -173,13 +261,8 @@ class Members:
     def keys(self) -> np.ndarray:
         return bands(self.signs)
 
-    def set(self, i: int) -> np.ndarray:
-        if i not in self.sets:
-            self.sets[i] = shingle_sets([self.texts[i].decode("utf-8", "surrogatepass")])[0]
-        return self.sets[i]
-
     def linked(self, i: int, j: int) -> bool:
-        return similar(self.set(i), self.set(j), self.percent)
+        return similar(self.sets[i], self.sets[j], self.percent)
 
 
 def _blobs(texts: DataFrame) -> DataFrame:
@@ -192,21 +275,16 @@ def _blobs(texts: DataFrame) -> DataFrame:
     return texts.select("id", "text").mapInArrow(tidy(run), "id long, blob binary")
 
 
-def linked(self, i: int, j: int) -> bool:
-        return similar(self.sets[i], self.sets[j], self.percent)
-
-
 def linked(docs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """(id, label) of lines that are linked with others, from their occurrences()."""
-    posted = found.where("bands IS NOT NULL").select(F.explode("bands").alias("bucket"), "id")
-    members, pairs = hub_pairs(posted)
+    posted, pairs = hub_pairs(table(members(found), "members"))
     pairs = table(pairs, "pairs")
-    wanted = table(members.select("id").distinct(), "wanted")
+    wanted = table(posted.select("id").distinct(), "wanted")
     every = docs.where("doc_id IS NOT NULL").select(F.explode(F.split("text", "\n")).alias("text")).withColumn("id", F.xxhash64("text"))
     texts = table(every.join(small(wanted, NARROW), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "lines")
     links = table(verified(pairs, texts, percent), "verified")
     labels = table(components(links), "labels")
-    rest = open_members(members, labels)
+    rest = open_members(posted, labels)
     held = table(_blobs(texts.join(rest.select("id").distinct(), "id", "left_semi")), "blobs")
     more = table(border_links(rest, held, partial(Members, percent=percent)), "border")
     return merged(labels, more)
@@ -215,9 +293,9 @@ def linked(docs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, own, gone): per document the numbers of the lines that go, in order; own is the xxhash64 of its text."""
     docs = columns(docs, "doc_id", "text").withColumn("own", F.xxhash64("text"))
-    found = table(occurrences(docs), "occurrences")
+    found = table(occurrences(docs, parts(docs)), "occurrences")
     labels = table(linked(docs, found, percent), "labels")
-    of = found.select("id", "doc_id", "own", "line").join(small(labels, NARROW), "id", "left").withColumn("label", F.coalesce("label", "id")).drop("id")
+    of = found.where("line IS NOT NULL").select("id", "doc_id", "own", "line").join(small(labels, NARROW), "id", "left").withColumn("label", F.coalesce("label", "id")).drop("id")
     several = table(of.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label"), "several")
     of = table(of.join(small(several, NARROW), "label"), "occurring")
     first = table(of.groupBy("label").agg(F.min(F.struct("doc_id", "own", "line")).alias("first")), "first")

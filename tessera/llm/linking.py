@@ -14,18 +14,22 @@ from pyspark.sql import functions as F
 from tessera.llm.support import NARROW, small, table, tidy
 
 
-def hub_pairs(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From postings (bucket, id): members (bucket, id, size, hub) of buckets with several ids, a table, and the distinct
-    pairs (a, b) of members and hubs.
+def crowded(posted: DataFrame) -> DataFrame:
+    """Distinct (bucket, id) of postings in buckets that hold several ids, a table."""
+    several = table(posted.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket"), "buckets")
+    return table(posted.join(small(several, NARROW), "bucket").select("bucket", "id").distinct(), "members")
+
+
+def hub_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From the distinct members (bucket, id) of buckets with several ids, a table: the same with (size, hub), a table, and
+    the distinct pairs (a, b) of members and hubs.
 
-    A bucket's hub is the member that meets most others over all buckets: the original among its edited copies. A bucket
-    of k members yields k - 1 pairs.
+    A bucket's hub is the member that meets most others over all buckets, any of those that tie: the original among its
+    edited copies. A bucket of k members yields k - 1 pairs.
     """
-    several = table(posted.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket"), "buckets")
-    members = table(posted.join(small(several, NARROW), "bucket").select("bucket", "id").distinct(), "members")
     sized = table(members.join(members.groupBy("bucket").agg(F.count("*").alias("size")), "bucket"), "sized")
     fame = sized.groupBy("id").agg(F.sum("size").alias("fame"))
-    hubs = sized.join(fame, "id").groupBy("bucket").agg(F.max(F.struct("fame", "id"))["id"].alias("hub"))
+    hubs = sized.join(fame, "id").groupBy("bucket").agg(F.max_by("id", "fame").alias("hub"))
     members = table(sized.join(hubs, "bucket"), "hubs")
     return members, members.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
@@ -33,8 +37,11 @@ def hub_pairs(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
 class Judge(Protocol):
     """What decides about the pairs of a block; built from the blobs of its members."""
 
-    def likely(self, i: int, bucket: int) -> np.ndarray:
-        """Members after i that are worth a test with it in this bucket: each similar pair must be so in one it shares."""
+    def likely(self, i: int, start: int, bucket: int) -> np.ndarray:
+        """Members from start on that are worth a test with i in this bucket: each similar pair must be so in one it shares."""
+
+    def prepare(self, wanted: list[int]) -> None:
+        """Told before any linked() which members it will be asked about."""
 
     def linked(self, i: int, j: int) -> bool:
         """Whether two members are similar, by their whole sets."""
@@ -75,7 +82,7 @@ def border_links(rest: DataFrame, blobs: DataFrame, judge: Callable[[list[bytes]
             ids, label, blob, lo, out = held["id"].to_numpy(), held["label"].to_numpy(), held["blob"], 0, []
             for hi in ends.tolist():
                 if hi - lo > 1:
-                    out += _joining(ids[lo:hi].tolist(), label[lo:hi], judge(blob.slice(lo, hi - lo).to_pylist()), int(key[lo, 0]))
+                    out += _joining(ids[lo:hi], label[lo:hi], blob.slice(lo, hi - lo), judge, int(key[lo, 0]))
                 lo = hi
             held = held.slice(lo)
             found = np.array(out, np.int64).reshape(-1, 2)
@@ -84,8 +91,16 @@ def border_links(rest: DataFrame, blobs: DataFrame, judge: Callable[[list[bytes]
     return rest.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
-def _joining(ids: list[int], label: np.ndarray, judge: Judge, bucket: int) -> list[tuple[int, int]]:
-    """Links that join components of one block."""
+def _joining(ids: np.ndarray, label: np.ndarray, blob: pa.ChunkedArray, build: Callable[[list[bytes]], Judge], bucket: int) -> list[tuple[int, int]]:
+    """Links that join components of one block. The largest component comes last: its members need no test with each other."""
+    _, group, size = np.unique(label, return_inverse=True, return_counts=True)
+    if len(size) < 2:
+        return []
+    order = np.lexsort((group, size[group]))
+    group, ids, label = group[order], ids[order].tolist(), label[order].tolist()
+    judge = build(blob.take(pa.array(order)).to_pylist())
+    ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(ids))
+    stop = np.repeat(ends, np.diff(ends, prepend=0)).tolist()
     root: dict[int, int] = {}
     out = []
 
@@ -94,10 +109,10 @@ def _joining(ids: list[int], label: np.ndarray, judge: Judge, bucket: int) -> li
             x = y
         return x
 
-    for i in range(len(ids) - 1):
-        j = judge.likely(i, bucket)
-        for k in j[label[j] != label[i]].tolist():
-            if (p := top(label[i])) != (q := top(label[k])) and judge.linked(i, k):
-                root[p] = q
-                out.append((ids[i], ids[k]))
+    pairs = [(i, k) for i in range(int(ends[-2])) for k in judge.likely(i, stop[i], bucket).tolist()]
+    judge.prepare(sorted({x for pair in pairs for x in pair}))
+    for i, k in pairs:
+        if (p := top(label[i])) != (q := top(label[k])) and judge.linked(i, k):
+            root[p] = q
+            out.append((ids[i], ids[k]))
     return out

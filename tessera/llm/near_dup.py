@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.hashing import Words, batches, mix
-from tessera.llm.linking import border_links, hub_pairs, open_members
+from tessera.llm.hashing import Words, batches, common, distinct, mix
+from tessera.llm.linking import border_links, crowded, hub_pairs, open_members
 from tessera.llm.support import columns, components, small, table, tidy
 
 
@@ -99,7 +99,7 @@ def sets(found: Words, k: int) -> Iterator[np.ndarray]:
     for lo, hi in zip(found.rows[:-1], found.rows[1:], strict=True):
         n = hi - lo
         if n >= k:
-            yield np.unique(windows[lo : hi - k + 1])
+            yield distinct(windows[lo : hi - k + 1])
         elif n:
             yield Words(found.data, found.starts, found.ends, found.codes[lo:hi], found.rows).windows(int(n), 1)
         else:
@@ -140,7 +140,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets have 100 * intersection >= percent * union; empty ones never do."""
     if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)) or not len(x):
         return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    both = common(x, y)
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
@@ -204,13 +204,16 @@ class Members:
         self.bands, self.sets = self.registers.view(np.uint64), [np.frombuffer(x, np.uint64, offset=n) for x in blobs]
         self.sizes, self.least, self.percent = np.array([len(s) for s in self.sets]), least, percent
 
-    def likely(self, i: int, bucket: int) -> np.ndarray:
-        j = i + 1 + np.flatnonzero((self.registers[i + 1 :] == self.registers[i]).mean(1) >= self.least - 0.05)  # looser than the likelihood
+    def likely(self, i: int, start: int, bucket: int) -> np.ndarray:
+        j = start + np.flatnonzero((self.registers[start:] == self.registers[i]).mean(1) >= self.least - 0.05)  # looser than the likelihood
         same = self.bands[j] == self.bands[i]
         first = same.argmax(1)  # the first band that both share: every pair is tested in one bucket
         j = j[same.any(1) & (band_keys(self.bands[i, first], first).view(np.int64) == bucket)]
         return j[SKETCH.jaccard(np.repeat(self.registers[i : i + 1], len(j), 0), self.registers[j], np.full(len(j), self.sizes[i]), self.sizes[j]) >= self.least]
 
+    def prepare(self, wanted: list[int]) -> None:
+        """Whole sets are held from the start."""
+
     def linked(self, i: int, j: int) -> bool:
         return similar(self.sets[i], self.sets[j], self.percent)
 
@@ -235,7 +238,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     full = known.where("d1 IS NOT NULL AND doc_id IS NOT NULL")
     classes = table(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id")), "classes")
     reps = table(full.join(classes, ["d1", "d2"]).where("doc_id = id").select("id", "registers", F.col("n_shingles").alias("n")).dropDuplicates(["id"]), "representatives")
-    members, pairs = hub_pairs(postings(reps))
+    members, pairs = hub_pairs(crowded(postings(reps)))
     pairs = table(likely(pairs, reps, least), "likely")
     links = table(verified(pairs, docs, k, percent), "verified")
     # Ids of one class, or of several where rows share a doc_id, hang together too.

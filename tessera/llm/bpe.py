@@ -68,8 +68,8 @@ class Codec:
         self.ids: dict[str, bytes] = {}
         self.back: dict[str, bytes] = {}
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        joins = [(ranks[z[:k]], ranks[z[k:]], rank) for z, rank in ranks.items() for k in range(1, len(z)) if z[:k] in ranks and z[k:] in ranks]
-        left, right, rank = np.array(joins, np.int64).reshape(-1, 3).T
+        joins = (x for z, rank in ranks.items() for k in range(1, len(z)) if z[:k] in ranks and z[k:] in ranks for x in (ranks[z[:k]], ranks[z[k:]], rank))
+        left, right, rank = np.fromiter(joins, np.int64).reshape(-1, 3).T
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
         self.db.register("pairs_in", pa.table({"pair": left * 1048576 + right, "rank": rank.astype(np.int32)}))
         self.db.execute("CREATE TABLE merges AS FROM pairs_in")
@@ -195,7 +195,7 @@ def _run(docs: DataFrame, path: str, pattern: str, digest: bool) -> DataFrame:
             lo = 0
             while lo < batch.num_rows:
                 texts, size, hi = [], 0, lo
-                while hi < batch.num_rows and (hi == lo or size < 4_000_000):  # so many characters at a time
+                while hi < batch.num_rows and (hi == lo or size < 1_000_000):  # so many characters at a time
                     t = batch.column(1)[hi].as_py() or ""
                     texts.append(split(t))
                     size += len(t)

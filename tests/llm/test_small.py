@@ -4,11 +4,13 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, contamination, language, licenses, lines, near_dup, nearest, queries, substrings, urls
+from tessera.llm import bpe, chat, contamination, hashing, language, licenses, lines, near_dup, nearest, queries, substrings, urls
 
 DOCS = "doc_id long, text string, component_id int, own string, label string"
 
@@ -188,3 +190,23 @@ def test_digest_of_bpe_matches_plain_form(spark):
     one = spark.createDataFrame([(1, "Hello, world!")], "doc_id long, text string")
     plain, digest = bpe.encoded(one, path, public_tokenizers.PATTERN).first(), bpe.digests(one, path, public_tokenizers.PATTERN).first()
     assert hashlib.sha256(plain["ids"]).hexdigest() == digest["ids_sha256"] and digest["n_tokens"] == len(plain["ids"]) // 4
+
+
+def test_sorted_sets():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 50):
+        x, y = (rng.integers(0, 40, n).astype(np.uint64) for _ in range(2))
+        assert hashing.distinct(x).tolist() == sorted(set(x.tolist()))
+        assert hashing.common(hashing.distinct(x), hashing.distinct(y)) == len(set(x.tolist()) & set(y.tolist()))
+
+
+def test_line_members_across_tasks(spark):
+    """Members of buckets equal those of a plain grouping, with lines of a bucket in one task and in several."""
+    texts = [f"the common line number {i % 7} of all these lines here" for i in range(40)] + ["a line that nothing else is like", "", None, "x"]
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, own long").repartition(3)
+    got = {(r["bucket"], r["id"]) for r in lines.members(lines.occurrences(docs, 5)).collect()}
+    held = {}
+    for t in {t for t in texts if t}:
+        for b in lines.bands(lines.signatures([t]))[0].tolist():
+            held.setdefault(b, set()).add(int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).view(np.int64)))
+    assert got == {(b, i) for b, ids in held.items() if len(ids) > 1 for i in ids}

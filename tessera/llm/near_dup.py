@@ -15,7 +15,8 @@ follows the Jaccard similarity. Steps, each a DataFrame job over written tables:
    borders pass the same two tests inside the block, which gives back only links that join components;
 6. union-find over links between representatives, and classes joined back.
 
-At J = 0.85, 32 bands of 8 registers miss a pair with probability 2e-5. Defined results: a null text or one without
+At J = 0.85, 32 bands of 8 registers miss a pair with probability 2e-5. Below that threshold the same registers are dealt
+out a second time, in another order, into 32 more bands: at J = 0.8, where 32 bands miss about 2e-3. Defined results: a null text or one without
 words has an empty set and is linked with nothing; a text of one to four words has its whole sequence as one shingle;
 repeated rows are copies; rows with equal doc_id are one document; a null doc_id takes no part, its component is null
 and it is kept; other columns of the input are ignored.
@@ -144,12 +145,27 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def postings(reps: DataFrame, rows: int = 8) -> DataFrame:
-    """(bucket, id) for every band of `rows` registers."""
+def banded(registers: np.ndarray, percent: int) -> np.ndarray:
+    """Bands of 8 registers as 64-bit numbers, by rows of registers; under 85 percent also those of the transposed registers."""
+    n = len(registers)
+    once = np.ascontiguousarray(registers).view(np.uint64)
+    if percent >= 85:
+        return once
+    return np.hstack([once, np.ascontiguousarray(registers.reshape(n, -1, 8).transpose(0, 2, 1)).reshape(n, -1).view(np.uint64)])
+
+
+def bound(percent: int) -> float:
+    """The least estimated similarity of a pair that is worth a test: five standard deviations of the estimate below the threshold."""
+    t = percent / 100
+    return t - max(0.11, 5 * (t * (1 - t) / SKETCH.registers) ** 0.5)
+
+
+def postings(reps: DataFrame, percent: int) -> DataFrame:
+    """(bucket, id) for every band of registers."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
-            bands = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            bands = banded(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, SKETCH.registers), percent)
             n = bands.shape[1]
             keys = band_keys(bands, np.arange(n)[None, :])
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), n))], ["bucket", "id"])
@@ -198,10 +214,10 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 class Members:
     """The members of a block, for border_links(): registers, then the codes of the whole set."""
 
-    def __init__(self, blobs: list[bytes], least: float, percent: int, rows: int = 8):
+    def __init__(self, blobs: list[bytes], least: float, percent: int):
         n = SKETCH.registers
         self.registers = np.frombuffer(b"".join(x[:n] for x in blobs), np.uint8).reshape(len(blobs), n)
-        self.bands, self.sets = self.registers.view(np.uint64), [np.frombuffer(x, np.uint64, offset=n) for x in blobs]
+        self.bands, self.sets = banded(self.registers, percent), [np.frombuffer(x, np.uint64, offset=n) for x in blobs]
         self.sizes, self.least, self.percent = np.array([len(s) for s in self.sets]), least, percent
 
     def likely(self, i: int, start: int, bucket: int) -> np.ndarray:
@@ -233,12 +249,12 @@ def blobs(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of docs (doc_id, text); see the module's text."""
-    least = percent / 100 - 0.11  # five standard deviations of the estimate below the threshold
+    least = bound(percent)
     known = table(sketches(docs, k), "sketches")
     full = known.where("d1 IS NOT NULL AND doc_id IS NOT NULL")
     classes = table(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id")), "classes")
     reps = table(full.join(classes, ["d1", "d2"]).where("doc_id = id").select("id", "registers", F.col("n_shingles").alias("n")).dropDuplicates(["id"]), "representatives")
-    members, pairs = hub_pairs(crowded(postings(reps)))
+    members, pairs = hub_pairs(crowded(postings(reps, percent)))
     pairs = table(likely(pairs, reps, least), "likely")
     links = table(verified(pairs, docs, k, percent), "verified")
     # Ids of one class, or of several where rows share a doc_id, hang together too.

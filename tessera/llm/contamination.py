@@ -6,15 +6,19 @@ share a template are one, under their smallest id. Every window of WINDOW canoni
 hash among item windows (every STRIDE-th of an item, and its last; of few literal words, none), which gives alignments of
 a document with an item. Aligned documents are read again: an alignment's coverage is the share of the item's canonical
 words that the document has at the same places, and its consistency the share of slots where the document's value is the
-one that the item's value is mostly replaced by: a re-parameterised question replaces a value alike everywhere.
+one that the item's value is mostly replaced by: a re-parameterised question replaces a value alike everywhere. Where
+words were put in or left out, an item lies at several shifts: each alignment is measured alone and once more with the
+item's runs of RUN words that the document has elsewhere up to an item's length away, and passes either way. A run of
+PASSAGE words of the item with its values makes a document contaminated whatever share of the item it is.
 
 Defined results: null or empty texts and items match nothing; an item of fewer than WINDOW words is one window of its own
-length; of several alignments with one item the best stays, ties to the first; repeated rows are one; rows with a null
+length; of several alignments with one item that pass the best stays, ties to the first; repeated rows are one; rows with a null
 doc_id are reported under null; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +28,7 @@ from tessera.llm.support import columns, small, table
 
 WINDOW, STRIDE, LITERALS = 8, 4, 3
 COVERAGE, CONSISTENCY = 0.5, 0.75
+RUN, PASSAGE = 4, 13
 NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
 UNITS = "km|m|cm|mm|miles?|feet|foot|ft|inch(?:es)?|yards?|kg|g|mg|grams?|pounds?|lbs?|ounces?|tons?|l|ml|lit(?:er|re)s?|gallons?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|mph|kmh|dollars?|cents?|euros?|percent|degrees?|watts?|volts?|joules?|newtons?|hertz|bytes?"
 
@@ -43,6 +48,11 @@ def surface(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, "[\ue000-\ue002]", ""), r"\s+"), lambda w: w.rlike(r"[\p{L}\p{M}\p{N}]"))
 
 
+def plain(values: Column) -> Column:
+    """Words of surface() in lower case, without the punctuation around them."""
+    return F.transform(values, lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$", "")))
+
+
 def _windows(words: Column, length: int, step: int = 1) -> Column:
     """(place, hash) of the windows of this length, every step-th and the last."""
     places = F.sequence(F.lit(0), F.size(words) - length, F.lit(step))
@@ -53,11 +63,12 @@ def _windows(words: Column, length: int, step: int = 1) -> Column:
 
 
 def templates(items: DataFrame) -> DataFrame:
-    """(item_id, words, values): one row per distinct template of items (item_id, text)."""
+    """(item_id, words, values, variants): one row per distinct template of items (item_id, text); values are those of the
+    first item, variants the distinct plain() ones of all."""
     known = columns(items, "item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     made = known.withColumn("words", canonical(F.col("text"))).where("words[0] <> ''")
-    one = made.groupBy("words").agg(F.min(F.struct("item_id", "text")).alias("first"))
-    return one.select(F.col("first.item_id").alias("item_id"), "words", surface(F.col("first.text")).alias("values"))
+    one = made.groupBy("words").agg(F.min(F.struct("item_id", "text")).alias("first"), F.collect_set(plain(surface(F.col("text")))).alias("variants"))
+    return one.select(F.col("first.item_id").alias("item_id"), "words", surface(F.col("first.text")).alias("values"), "variants")
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -77,8 +88,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     again = docs.dropDuplicates(["doc_id", "own"]).join(small(table(aligned.select(F.col("own").alias("o")).distinct(), "aligned")), F.col("own") == F.col("o"), "left_semi")
     read = table(again.select(F.col("doc_id").alias("d"), F.col("own").alias("o"), canonical(F.col("text")).alias("words"), surface(F.col("text")).alias("values")), "aligned-words")
     both = aligned.join(read, (aligned["own"] == read["o"]) & aligned["doc_id"].eqNullSafe(read["d"])).drop("d", "o")
-    both = both.join(small(known).select(F.col("item_id"), F.col("words").alias("item_words"), F.col("values").alias("item_values")), "item_id")
-    return best(both).where((F.col("coverage") >= COVERAGE) & (F.col("consistency") >= CONSISTENCY)).select("doc_id", "item_id", *_NAMES)
+    both = both.join(small(known).select(F.col("item_id"), F.col("words").alias("item_words"), F.col("values").alias("item_values"), "variants"), "item_id")
+    return best(both).select("doc_id", "item_id", *_NAMES)
 
 
 _NAMES = ["coverage", "n_slots", "consistency", "verbatim"]
@@ -88,14 +99,43 @@ def _measures() -> list[Column]:
     return [F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("n_slots"), F.lit(0.0).alias("consistency"), F.lit(True).alias("verbatim")]
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _elsewhere(here: Column, places: Column) -> Column:
+    """The places of `here`, and for item words that have none those in the first equal run of RUN words, at least two of
+    them literal, that the document has up to an item's length before the alignment or after it."""
+    n = F.size("item_words")
+    begin = F.greatest(F.lit(0), F.col("shift") - n)
+    region = F.slice("words", begin + 1, F.col("shift") + 2 * n - begin)
+    hashes = lambda words: F.when(F.size(words) >= RUN, F.transform(F.sequence(F.lit(0), F.size(words) - RUN), lambda i: F.xxhash64(F.slice(words, i + 1, RUN))))
+    literal = lambda j: F.size(F.filter(F.slice("item_words", j + 1, RUN), lambda w: ~w.isin(NUMBER, UNIT, NAME))) >= 2
+    found = lambda near: F.transform(hashes(F.col("item_words")), lambda h, j: F.when(literal(j), F.nullif(F.array_position(near, h), F.lit(0)) - 1 + begin))
+    place = lambda runs, i: F.coalesce(F.get(here, i), *(F.get(runs, i - d) + d for d in range(RUN)))
+    return _let(_let(_let(region, hashes), found), lambda runs: F.transform(places, lambda i: place(runs, i).cast("int")))
+
+
+def _passage(places: Column) -> Column:
+    """The most words in a row that the document has at this shift as an item of the template has them, values included."""
+    longer = lambda a, same: F.when(same, a["now"] + 1).otherwise(0)
+    step = lambda a, same: F.struct(longer(a, same).alias("now"), F.greatest(a["most"], longer(a, same)).alias("most"))
+    none = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    run = lambda mine, item: F.aggregate(places, none, lambda a, i: step(a, F.get(mine, i) == F.get(item, i)), lambda a: a["most"])
+    return _let(plain(F.transform(places, lambda i: F.get("values", i + F.col("shift")))), lambda mine: F.array_max(F.transform("variants", lambda item: run(mine, item))))
+
+
 def best(both: DataFrame) -> DataFrame:
-    """Measures of the best alignment of each (doc_id, own, item_id)."""
-    places = F.sequence(F.lit(0), F.size("item_words") - 1)
-    at = lambda i: F.get("words", i + F.col("shift"))  # noqa: E731  null outside the document
-    same = F.filter(places, lambda i: at(i).eqNullSafe(F.get("item_words", i)))
-    slots = F.filter("same", lambda i: F.get("item_words", i).isin(NUMBER, UNIT, NAME))
-    pairs = F.transform(slots, lambda i: F.struct(F.get("item_values", i).alias("x"), F.get("values", i + F.col("shift")).alias("y")))
-    measured = both.withColumn("same", same).withColumn("coverage", F.size("same") / F.size("item_words")).where(F.col("coverage") >= COVERAGE).withColumn("pairs", pairs)
+    """Measures of the best alignment of each (doc_id, item_id), of those that pass."""
+    n = F.size("item_words")
+    places = F.sequence(F.lit(0), n - 1)
+    same = F.transform(places, lambda i: F.when(F.get("words", i + F.col("shift")).eqNullSafe(F.get("item_words", i)), i + F.col("shift")))  # null outside the document
+    ways = _let(same, lambda here: F.when(F.forall(here, lambda p: p.isNotNull()), F.array(here)).otherwise(F.array_distinct(F.array(here, _elsewhere(here, places)))))
+    each = both.withColumn("passage", _passage(places)).withColumn("at", F.explode(ways))  # the document's place of each item word, or null
+    each = each.withColumn("coverage", F.size(F.filter("at", lambda p: p.isNotNull())) / n).where((F.col("coverage") >= COVERAGE) | (F.col("passage") >= PASSAGE))
+    slots = F.filter(places, lambda i: F.get("at", i).isNotNull() & F.get("item_words", i).isin(NUMBER, UNIT, NAME))
+    measured = each.withColumn("pairs", F.transform(slots, lambda i: F.struct(F.get("item_values", i).alias("x"), F.get("values", F.get("at", i)).alias("y"))))
     # The share of an item's value that goes to its most frequent replacement, over all values: counts within one item.
     tops = F.transform(
         F.array_distinct(F.transform("pairs", lambda p: p["x"])),
@@ -103,7 +143,8 @@ def best(both: DataFrame) -> DataFrame:
     )
     agreed = F.aggregate(tops, F.lit(0), lambda a, b: a + b)
     measured = measured.withColumn("n_slots", F.size("pairs").cast("long")).withColumn("consistency", F.when(F.size("pairs") == 0, 1.0).otherwise(agreed / F.greatest(F.size("pairs"), F.lit(1))))
-    measured = measured.withColumn("verbatim", (F.size("same") == F.size("item_words")) & F.forall("pairs", lambda p: p["x"] == p["y"]))
+    measured = measured.withColumn("verbatim", F.forall(places, lambda i: F.get("at", i).eqNullSafe(i + F.col("shift"))) & F.forall("pairs", lambda p: p["x"] == p["y"]))
+    measured = measured.where(((F.col("coverage") >= COVERAGE) & (F.col("consistency") >= CONSISTENCY)) | (F.col("passage") >= PASSAGE))
     order = F.struct("coverage", "consistency", (-F.abs("shift")).alias("near"), "shift", "n_slots", "verbatim")
     return measured.groupBy("doc_id", "item_id").agg(F.max(order).alias("m")).select("doc_id", "item_id", "m.*")
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tessera.llm import near_dup
+from tessera.llm import contamination, near_dup
 
 
 def test_pipeline_links_at_80_percent(spark):
@@ -29,3 +29,40 @@ def test_bands_at_80_percent():
             missed[percent] += not (bands[0] == bands[1]).any()
     assert missed[80] == 0 and missed[85] > 0
     assert near_dup.bound(80) < 0.8 - 5 * 0.0249 and near_dup.bound(85) < 0.74 + 1e-9
+
+
+def _hits(spark, docs, items):
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r for r in contamination.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+
+def test_copies_with_words_put_in_or_left_out(spark):
+    """37 words in three shifts of 11 to 13 words, none of them half of the item."""
+    item = [f"{chr(97 + i % 26)}{'xyz'[i // 26]}word" for i in range(37)]
+    put_in = [*item[:12], "extra", *item[12:24], "more", "words", *item[24:]]
+    left_out = [*item[:12], *item[13:24], *item[26:]]
+    pieces = ["lead", *item[:9], *["other"] * 60, *item[20:28]]
+    rows = [(1, " ".join(put_in)), (2, " ".join(["so", *left_out, "end"])), (3, " ".join(pieces)), (4, " ".join(item))]
+    got = _hits(spark, rows, [(1, " ".join(item))])
+    assert set(got) == {(1, 1), (2, 1), (4, 1)}
+    assert got[(1, 1)]["coverage"] == 1.0 and got[(2, 1)]["coverage"] == 34 / 37 and not got[(1, 1)]["verbatim"] and got[(4, 1)]["verbatim"]
+
+
+def test_inserted_words_between_consistent_slots(spark):
+    """A question with new values alike everywhere and a name of two words passes; one with values mixed does not."""
+    item = "If Tom has 5 apples and gives Mary 3 apples, then how many apples does Tom have after 5 days?"
+    alike = "If Anna has 9 apples and kindly gives the good Paul 2 apples, then tell me how many apples does Anna have after 9 days?"
+    mixed = "If Anna has 9 apples and kindly gives the good Paul 2 apples, then tell me how many apples does Zoe have after 4 days?"
+    got = _hits(spark, [(1, alike), (2, mixed)], [(1, item)])
+    assert set(got) == {(1, 1)} and got[(1, 1)]["coverage"] > 0.8 and got[(1, 1)]["consistency"] == 1.0
+
+
+def test_long_verbatim_passage(spark):
+    """28 words in a row of a 59-word item are less than half of it; 12 are too few; so are 28 with other values."""
+    item = [f"{chr(97 + i % 26)}{'xyz'[i // 26]}word" if i % 5 else str(100 + i) for i in range(59)]
+    other = [w if w.isalpha() else "7" + w for w in item]
+    rows = [(1, " ".join(["a", "b", *item[10:38], "c"])), (2, " ".join(["a", *item[11:23], "c"])), (3, " ".join(["a", *other[10:38], "c"]))]
+    got = _hits(spark, rows, [(1, " ".join(item))])
+    assert set(got) == {(1, 1)} and got[(1, 1)]["coverage"] < 0.5
+    # Of items that share a template, each item's values count.
+    assert set(_hits(spark, rows, [(1, " ".join(item)), (2, " ".join(other))])) == {(1, 1), (3, 1)}

@@ -3,8 +3,9 @@
 A text is canonicalised: a word with a digit becomes a number placeholder, a unit after a number a unit placeholder, a
 capitalised word inside a sentence a name placeholder; punctuation goes and letters are lower-cased. Benchmark items that
 share a template are one, under their smallest id. Every window of WINDOW canonical words of a document is looked up by
-hash among item windows (every STRIDE-th of an item, and its last; of few literal words, none), which gives alignments of
-a document with an item. Aligned documents are read again: an alignment's coverage is the share of the item's canonical
+hash among item windows (every STRIDE-th of an item, and its last), which gives alignments of a document with an item.
+Windows of fewer than LITERALS literal words say too little as a template; they are looked up by their words as they
+stand, values included, and such an alignment counts only words that are the same as they stand. Aligned documents are read again: an alignment's coverage is the share of the item's canonical
 words that the document has at the same places, and its consistency the share of slots where the document's value is the
 one that the item's value is mostly replaced by: a re-parameterised question replaces a value alike everywhere. Where
 words were put in or left out, an item lies at several shifts: each alignment is measured alone and once more with the
@@ -71,6 +72,31 @@ def templates(items: DataFrame) -> DataFrame:
     return one.select(F.col("first.item_id").alias("item_id"), "words", surface(F.col("first.text")).alias("values"), "variants")
 
 
+def _literal(words: Column, place: Column) -> Column:
+    """How many literal words the window at a place has."""
+    return F.size(F.filter(F.slice(words, place + 1, WINDOW), lambda w: ~w.isin(NUMBER, UNIT, NAME)))
+
+
+def _few_literals(known: DataFrame, lengths: list[int]) -> tuple[DataFrame, list[int]]:
+    """(item_id, at, hash, variant) of the windows of few literal words of each variant of templates(), a table, hashed over
+    the variant's words; and which of these lengths such windows have."""
+    each = known.select("item_id", "words", F.posexplode("variants").alias("variant", "plain"))
+    made = []
+    for n in lengths:
+        of = each.where(F.least(F.size("words"), F.lit(WINDOW)) == n).select("item_id", "variant", "words", F.explode(_windows(F.col("plain"), n)).alias("w"))
+        few = of.where(_literal(F.col("words"), F.col("w.place")) < F.least(F.lit(LITERALS), F.size("words")))
+        made.append(few.select("item_id", F.col("w.place").alias("at"), F.col("w.hash").alias("hash"), "variant", F.lit(n).alias("n")))
+    exact = table(reduce(DataFrame.unionByName, made), "exact-windows")
+    return exact.drop("n"), sorted(r[0] for r in exact.select("n").distinct().collect())
+
+
+def _aligned(words: DataFrame, mine: DataFrame, lengths: list[int]) -> DataFrame:
+    """Distinct (doc_id, own, item_id, shift, variant) of windows of words (doc_id, own, words) that are among mine."""
+    every = F.concat(*(F.coalesce(_windows(F.col("words"), n), F.array().cast("array<struct<place:int,hash:bigint>>")) for n in lengths)) if len(lengths) > 1 else _windows(F.col("words"), lengths[0])
+    found = words.select("doc_id", "own", F.explode(every).alias("w")).select("doc_id", "own", F.col("w.place").alias("place"), F.col("w.hash").alias("hash")).join(small(mine), "hash")
+    return found.select("doc_id", "own", "item_id", (F.col("place") - F.col("at")).alias("shift"), "variant").distinct()
+
+
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, coverage, n_slots, consistency, verbatim): documents that hold an item or a variant of it."""
     docs = columns(docs, "doc_id", "text").withColumn("own", F.xxhash64("text"))
@@ -79,12 +105,12 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     if not lengths:
         return known.select(F.lit(0).cast("long").alias("doc_id"), "item_id", *_measures()).where("false")
     mine = reduce(DataFrame.unionByName, [known.where(F.least(F.size("words"), F.lit(WINDOW)) == n).select("item_id", F.explode(_windows(F.col("words"), n, STRIDE)).alias("w"), "words") for n in lengths])
-    literal = F.size(F.filter(F.slice("words", F.col("w.place") + 1, WINDOW), lambda w: ~w.isin(NUMBER, UNIT, NAME)))
-    mine = table(mine.where(literal >= F.least(F.lit(LITERALS), F.size("words"))).select("item_id", F.col("w.place").alias("at"), F.col("w.hash").alias("hash")), "item-windows")
-    words = docs.select("doc_id", "own", canonical(F.col("text")).alias("words"))
-    every = F.concat(*(F.coalesce(_windows(F.col("words"), n), F.array().cast("array<struct<place:int,hash:bigint>>")) for n in lengths)) if len(lengths) > 1 else _windows(F.col("words"), lengths[0])
-    found = words.select("doc_id", "own", F.explode(every).alias("w")).select("doc_id", "own", F.col("w.place").alias("place"), F.col("w.hash").alias("hash")).join(small(mine), "hash")
-    aligned = table(found.select("doc_id", "own", "item_id", (F.col("place") - F.col("at")).alias("shift")).distinct(), "alignments")
+    mine = table(mine.where(_literal(F.col("words"), F.col("w.place")) >= F.least(F.lit(LITERALS), F.size("words"))).select("item_id", F.col("w.place").alias("at"), F.col("w.hash").alias("hash"), F.lit(None).cast("int").alias("variant")), "item-windows")
+    aligned = _aligned(docs.select("doc_id", "own", canonical(F.col("text")).alias("words")), mine, lengths)
+    exact, lengths = _few_literals(known, lengths)
+    if lengths:
+        aligned = aligned.unionByName(_aligned(docs.select("doc_id", "own", plain(surface(F.col("text"))).alias("words")), exact, lengths))
+    aligned = table(aligned, "alignments")
     again = docs.dropDuplicates(["doc_id", "own"]).join(small(table(aligned.select(F.col("own").alias("o")).distinct(), "aligned")), F.col("own") == F.col("o"), "left_semi")
     read = table(again.select(F.col("doc_id").alias("d"), F.col("own").alias("o"), canonical(F.col("text")).alias("words"), surface(F.col("text")).alias("values")), "aligned-words")
     both = aligned.join(read, (aligned["own"] == read["o"]) & aligned["doc_id"].eqNullSafe(read["d"])).drop("d", "o")
@@ -131,11 +157,14 @@ def best(both: DataFrame) -> DataFrame:
     n = F.size("item_words")
     places = F.sequence(F.lit(0), n - 1)
     same = F.transform(places, lambda i: F.when(F.get("words", i + F.col("shift")).eqNullSafe(F.get("item_words", i)), i + F.col("shift")))  # null outside the document
-    ways = _let(same, lambda here: F.when(F.forall(here, lambda p: p.isNotNull()), F.array(here)).otherwise(F.array_distinct(F.array(here, _elsewhere(here, places)))))
+    stands = F.transform(places, lambda i: F.get("values", i + F.col("shift")))
+    stands = _let(plain(stands), lambda mine: _let(F.get("variants", F.col("variant")), lambda item: F.transform(places, lambda i: F.when(F.get(mine, i) == F.get(item, i), i + F.col("shift")))))
+    same = F.when(F.col("variant").isNull(), same).otherwise(stands)
+    ways = _let(same, lambda here: F.when(F.col("variant").isNotNull() | F.forall(here, lambda p: p.isNotNull()), F.array(here)).otherwise(F.array_distinct(F.array(here, _elsewhere(here, places)))))
     each = both.withColumn("passage", _passage(places)).withColumn("at", F.explode(ways))  # the document's place of each item word, or null
     each = each.withColumn("coverage", F.size(F.filter("at", lambda p: p.isNotNull())) / n).where((F.col("coverage") >= COVERAGE) | (F.col("passage") >= PASSAGE))
     slots = F.filter(places, lambda i: F.get("at", i).isNotNull() & F.get("item_words", i).isin(NUMBER, UNIT, NAME))
-    measured = each.withColumn("pairs", F.transform(slots, lambda i: F.struct(F.get("item_values", i).alias("x"), F.get("values", F.get("at", i)).alias("y"))))
+    measured = each.withColumn("pairs", F.transform(slots, lambda i: F.struct(F.when(F.col("variant").isNull(), F.get("item_values", i)).otherwise(F.get("values", F.get("at", i))).alias("x"), F.get("values", F.get("at", i)).alias("y"))))
     # The share of an item's value that goes to its most frequent replacement, over all values: counts within one item.
     tops = F.transform(
         F.array_distinct(F.transform("pairs", lambda p: p["x"])),

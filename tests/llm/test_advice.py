@@ -66,3 +66,23 @@ def test_long_verbatim_passage(spark):
     assert set(got) == {(1, 1)} and got[(1, 1)]["coverage"] < 0.5
     # Of items that share a template, each item's values count.
     assert set(_hits(spark, rows, [(1, " ".join(item)), (2, " ".join(other))])) == {(1, 1), (3, 1)}
+
+
+def test_items_of_few_literals(spark):
+    """Exact copies of items that are mostly slots are found, each by its own values; other values are not."""
+    sums = ["What is 513 + 278 + 91 + 44?", "What is 7 + 8 + 9 + 10?"]
+    numbers = " ".join(str(i * i) for i in range(3, 23))
+    names = "ask Anna, Bob, Carl, Dora, Emil, Fred, Gina, Hugo, Ida, Jan"
+    items = [(1, sums[0]), (2, sums[1]), (3, numbers), (4, names), (5, "one more item that has more than enough literal words")]
+    rows = [
+        (1, f'They say: "{sums[0].replace("What", "what")}" and go'),
+        (2, f"well, {sums[1]}"),
+        (3, "What is 6 + 278 + 91 + 44?"),
+        (4, f"a list {numbers} of squares"),
+        (5, " ".join(str(i * i) for i in range(3, 11)) + " " + " ".join(str(i) for i in range(1000, 1040))),
+        (6, f"now {names} and all"),
+        (7, "now ask Karl, Lena, Mia, Nora, Otto, Paul, Rita, Sven, Tina, Uwe"),
+    ]
+    got = _hits(spark, rows, items)
+    assert set(got) == {(1, 1), (2, 1), (4, 3), (6, 4)}  # items that share a template are one, under the smallest id
+    assert all(r["coverage"] == 1.0 and r["consistency"] == 1.0 and r["verbatim"] for r in got.values())

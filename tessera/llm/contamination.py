@@ -3,7 +3,7 @@
 A text is canonicalised: a word with a digit becomes a number placeholder, a unit after a number a unit placeholder, a
 capitalised word inside a sentence a name placeholder; punctuation goes and letters are lower-cased. Benchmark items that
 share a template are one, under their smallest id. Every window of WINDOW canonical words of a document is looked up by
-hash among item windows (every STRIDE-th of an item, and its last), which gives alignments of a document with an item.
+hash among all item windows, which gives alignments of a document with an item.
 Windows of fewer than LITERALS literal words say too little as a template; they are looked up by their words as they
 stand, values included, and such an alignment counts only words that are the same as they stand. Aligned documents are read again: an alignment's coverage is the share of the item's canonical
 words that the document has at the same places, and its consistency the share of slots where the document's value is the
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.support import columns, small, table
 
-WINDOW, STRIDE, LITERALS = 8, 4, 3
+WINDOW, LITERALS = 8, 3
 COVERAGE, CONSISTENCY = 0.5, 0.75
 RUN, PASSAGE = 4, 13
 NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
@@ -54,11 +54,9 @@ def plain(values: Column) -> Column:
     return F.transform(values, lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}]+$", "")))
 
 
-def _windows(words: Column, length: int, step: int = 1) -> Column:
-    """(place, hash) of the windows of this length, every step-th and the last."""
-    places = F.sequence(F.lit(0), F.size(words) - length, F.lit(step))
-    if step > 1:
-        places = F.array_distinct(F.concat(places, F.array(F.size(words) - length)))
+def _windows(words: Column, length: int) -> Column:
+    """(place, hash) of the windows of this length."""
+    places = F.sequence(F.lit(0), F.size(words) - length, F.lit(1))
     made = F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(F.slice(words, i + 1, length)).alias("hash")))
     return F.when(F.size(words) >= length, made)
 
@@ -104,7 +102,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     lengths = sorted(r[0] for r in known.select(F.least(F.size("words"), F.lit(WINDOW))).distinct().collect())  # at most WINDOW values
     if not lengths:
         return known.select(F.lit(0).cast("long").alias("doc_id"), "item_id", *_measures()).where("false")
-    mine = reduce(DataFrame.unionByName, [known.where(F.least(F.size("words"), F.lit(WINDOW)) == n).select("item_id", F.explode(_windows(F.col("words"), n, STRIDE)).alias("w"), "words") for n in lengths])
+    mine = reduce(DataFrame.unionByName, [known.where(F.least(F.size("words"), F.lit(WINDOW)) == n).select("item_id", F.explode(_windows(F.col("words"), n)).alias("w"), "words") for n in lengths])
     mine = table(mine.where(_literal(F.col("words"), F.col("w.place")) >= F.least(F.lit(LITERALS), F.size("words"))).select("item_id", F.col("w.place").alias("at"), F.col("w.hash").alias("hash"), F.lit(None).cast("int").alias("variant")), "item-windows")
     aligned = _aligned(docs.select("doc_id", "own", canonical(F.col("text")).alias("words")), mine, lengths)
     exact, lengths = _few_literals(known, lengths)

@@ -86,3 +86,11 @@ def test_items_of_few_literals(spark):
     got = _hits(spark, rows, items)
     assert set(got) == {(1, 1), (2, 1), (4, 3), (6, 4)}  # items that share a template are one, under the smallest id
     assert all(r["coverage"] == 1.0 and r["consistency"] == 1.0 and r["verbatim"] for r in got.values())
+
+
+def test_run_between_two_changed_words(spark):
+    """20 words with those at places 4 and 13 changed: the run 5-12 of eight words aligns the document."""
+    item = [f"{chr(97 + i)}word" for i in range(20)]
+    changed = [w if i not in (4, 13) else "other" for i, w in enumerate(item)]
+    got = _hits(spark, [(1, " ".join(["so", *changed, "end"]))], [(1, " ".join(item))])
+    assert got[(1, 1)]["coverage"] == 0.9

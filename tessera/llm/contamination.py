@@ -14,7 +14,8 @@ PASSAGE words of the item with its values makes a document contaminated whatever
 
 Defined results: null or empty texts and items match nothing; an item of fewer than WINDOW words is one window of its own
 length; of several alignments with one item that pass the best stays, ties to the first; repeated rows are one; rows with a null
-doc_id are reported under null; other columns are ignored.
+doc_id are reported under null; of rows that share a doc_id but not the text, clean() drops those that hold an item, rows
+with a null doc_id included; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,11 +98,16 @@ def _aligned(words: DataFrame, mine: DataFrame, lengths: list[int]) -> DataFrame
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, coverage, n_slots, consistency, verbatim): documents that hold an item or a variant of it."""
+    return best(_passing(docs, items)).select("doc_id", "item_id", *_NAMES)
+
+
+def _passing(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, own, item_id, shift) and the measures of all alignments that pass; own is the hash of the text."""
     docs = columns(docs, "doc_id", "text").withColumn("own", F.xxhash64("text"))
     known = table(templates(items), "templates")
     lengths = sorted(r[0] for r in known.select(F.least(F.size("words"), F.lit(WINDOW))).distinct().collect())  # at most WINDOW values
     if not lengths:
-        return known.select(F.lit(0).cast("long").alias("doc_id"), "item_id", *_measures()).where("false")
+        return docs.crossJoin(known.select("item_id")).select("doc_id", "own", "item_id", F.lit(0).alias("shift"), *_measures()).where("false")
     mine = reduce(DataFrame.unionByName, [known.where(F.least(F.size("words"), F.lit(WINDOW)) == n).select("item_id", F.explode(_windows(F.col("words"), n)).alias("w"), "words") for n in lengths])
     mine = table(mine.where(_literal(F.col("words"), F.col("w.place")) >= F.least(F.lit(LITERALS), F.size("words"))).select("item_id", F.col("w.place").alias("at"), F.col("w.hash").alias("hash"), F.lit(None).cast("int").alias("variant")), "item-windows")
     aligned = _aligned(docs.select("doc_id", "own", canonical(F.col("text")).alias("words")), mine, lengths)
@@ -113,7 +119,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     read = table(again.select(F.col("doc_id").alias("d"), F.col("own").alias("o"), canonical(F.col("text")).alias("words"), surface(F.col("text")).alias("values")), "aligned-words")
     both = aligned.join(read, (aligned["own"] == read["o"]) & aligned["doc_id"].eqNullSafe(read["d"])).drop("d", "o")
     both = both.join(small(known).select(F.col("item_id"), F.col("words").alias("item_words"), F.col("values").alias("item_values"), "variants"), "item_id")
-    return best(both).select("doc_id", "item_id", *_NAMES)
+    return measures(both).select("doc_id", "own", "item_id", "shift", *_NAMES)
 
 
 _NAMES = ["coverage", "n_slots", "consistency", "verbatim"]
@@ -150,8 +156,8 @@ def _passage(places: Column) -> Column:
     return _let(plain(F.transform(places, lambda i: F.get("values", i + F.col("shift")))), lambda mine: F.array_max(F.transform("variants", lambda item: run(mine, item))))
 
 
-def best(both: DataFrame) -> DataFrame:
-    """Measures of the best alignment of each (doc_id, item_id), of those that pass."""
+def measures(both: DataFrame) -> DataFrame:
+    """Alignments that pass, with their measures."""
     n = F.size("item_words")
     places = F.sequence(F.lit(0), n - 1)
     same = F.transform(places, lambda i: F.when(F.get("words", i + F.col("shift")).eqNullSafe(F.get("item_words", i)), i + F.col("shift")))  # null outside the document
@@ -171,12 +177,16 @@ def best(both: DataFrame) -> DataFrame:
     agreed = F.aggregate(tops, F.lit(0), lambda a, b: a + b)
     measured = measured.withColumn("n_slots", F.size("pairs").cast("long")).withColumn("consistency", F.when(F.size("pairs") == 0, 1.0).otherwise(agreed / F.greatest(F.size("pairs"), F.lit(1))))
     measured = measured.withColumn("verbatim", F.forall(places, lambda i: F.get("at", i).eqNullSafe(i + F.col("shift"))) & F.forall("pairs", lambda p: p["x"] == p["y"]))
-    measured = measured.where(((F.col("coverage") >= COVERAGE) & (F.col("consistency") >= CONSISTENCY)) | (F.col("passage") >= PASSAGE))
+    return measured.where(((F.col("coverage") >= COVERAGE) & (F.col("consistency") >= CONSISTENCY)) | (F.col("passage") >= PASSAGE))
+
+
+def best(passing: DataFrame) -> DataFrame:
+    """The best alignment of each (doc_id, item_id)."""
     order = F.struct("coverage", "consistency", (-F.abs("shift")).alias("near"), "shift", "n_slots", "verbatim")
-    return measured.groupBy("doc_id", "item_id").agg(F.max(order).alias("m")).select("doc_id", "item_id", "m.*")
+    return passing.groupBy("doc_id", "item_id").agg(F.max(order).alias("m")).select("doc_id", "item_id", "m.*")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the contaminated ones."""
-    leaks = table(contaminated(docs, items).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    return docs.join(small(leaks), docs["doc_id"] == leaks["__leak"], "left_anti")
+    """docs without the contaminated rows, which are known by doc_id, null or not, and text."""
+    leaks = table(_passing(docs, items).select(F.col("doc_id").alias("__leak"), F.col("own").alias("__own")).distinct(), "leaks")
+    return docs.join(small(leaks), (F.xxhash64(docs["text"]) == leaks["__own"]) & docs["doc_id"].eqNullSafe(leaks["__leak"]), "left_anti")

@@ -94,3 +94,14 @@ def test_run_between_two_changed_words(spark):
     changed = [w if i not in (4, 13) else "other" for i, w in enumerate(item)]
     got = _hits(spark, [(1, " ".join(["so", *changed, "end"]))], [(1, " ".join(item))])
     assert got[(1, 1)]["coverage"] == 0.9
+
+
+def test_clean_null_and_repeated_ids(spark):
+    """A contaminated row goes also under a null doc_id; a row that only shares its doc_id with one stays."""
+    item = " ".join(f"{chr(97 + i)}word" for i in range(20))
+    rows = [(None, item), (None, "clean one"), (1, item), (1, "another clean one"), (2, None), (3, item), (4, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = contamination.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(map(tuple, left), key=repr) == sorted([(None, "clean one"), (1, "another clean one"), (2, None), (4, "clean")], key=repr)
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert contamination.clean(docs, none).count() == len(rows)

@@ -18,7 +18,8 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     edges = table(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     mark = _mark(edges)
     while True:
-        near = F.broadcast if mark[0] <= NARROW // 2 else lambda df: df  # of fewer rows than twice the edges
+        # Minima of few edges are broadcast; else written first, so that the join meets plain exchanges, which Spark splits where a hub skews them.
+        near = F.broadcast if mark[0] <= NARROW // 2 else lambda df: table(df, "least")
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(near(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -24,9 +24,11 @@ def vertices(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """(id, neighbours) in ascending order, for graphs whose largest list fits a row."""
-    return edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list("dst")).alias("neighbours"))
+def adjacency(edges: DataFrame, block: int = 100_000) -> DataFrame:
+    """(id, block, neighbours): ascending adjacency lists, long ones split into blocks of at most `block` neighbours."""
+    place = F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1
+    dealt = edges.select("src", "dst", F.floor(place / block).cast("int").alias("block"))
+    return dealt.groupBy(F.col("src").alias("id"), "block").agg(F.sort_array(F.collect_list("dst")).alias("neighbours"))
 
 
 def out_degree(edges: DataFrame) -> DataFrame:
@@ -52,14 +54,3 @@ def common_neighbours(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     one = pairs.join(near.select(F.col("src").alias("a"), F.col("dst").alias("n")), "a")
     both = one.join(near.select(F.col("src").alias("b"), F.col("dst").alias("n")), ["b", "n"]).groupBy("a", "b").agg(F.count("*").alias("common"))
     return pairs.join(both, ["a", "b"], "left").select("a", "b", F.coalesce("common", F.lit(0)).cast("long").alias("common"))
-
-
-def renumbered(edges: DataFrame, order: DataFrame) -> DataFrame:
-    """Edges in the ids of degree_order()."""
-    for end in ("src", "dst"):
-        edges = edges.join(order.select(F.col("id").alias(end), F.col("position").alias("p")), end).drop(end).withColumnRenamed("p", end)
-    return edges.select("src", "dst")
-
-
-def ranked(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(column), "id")))

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.lineage import forget, table
+from tessera.plans.lineage import forget, table, written
 
 
 class VertexProgram:
@@ -53,10 +53,12 @@ class Run:
 
 
 def run(program: VertexProgram, vertices: DataFrame, edges: DataFrame, iterations: int | None = None) -> Run:
+    edges = written(edges, "edges")
     state = table(program.initialize(vertices), "state")
     out = Run(state)
     step = 0
-    while (iterations is None or step < iterations) and state.where("active").limit(1).count():
+    active = state.where("active").count()
+    while (iterations is None or step < iterations) and active:
         state_ = program.before_iteration(state, step)
         sent = edges.join(state_.where("active").drop("active").withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), program.send().alias("message"))
         came = sent.groupBy("id").agg(program.combine(F.col("message")).alias("message"))
@@ -65,7 +67,8 @@ def run(program: VertexProgram, vertices: DataFrame, edges: DataFrame, iteration
         kept = [new[c].alias(c) if c in new else F.col(c) for c in state_.columns if c not in ("id", "active")]
         last, state = state, table(joined.select("id", *kept, F.coalesce(new["active"], F.lit(False)).alias("active")), "state")
         forget(last)
-        out.log.append(state.where("active").count())
+        active = state.where("active").count()
+        out.log.append(active)
         program.after_iteration(state, step)
         step += 1
     out.state = program.finalize(state)

@@ -1,35 +1,31 @@
 """Breadth-first and depth-first search, shortest paths, and depth-bounded traversals.
 
-Every superstep is one join of the frontier with the edges, written as a table; the frontier is broadcast only while it
-was counted to be small.
+Edges are written once. Every superstep is one join of the frontier with them, written as a table of its own; the
+frontier is broadcast only while it was counted to be small.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.lineage import NARROW, forget, small, table
+from tessera.plans.lineage import NARROW, forget, joined_tables, small, table, written
 
 
 def bfs(edges: DataFrame, root: int, depth: int | None = None) -> DataFrame:
     """(id, level, parent) of what root reaches: parent is the smallest neighbour one level up, null for root."""
-    spark = edges.sparkSession
-    edges = edges.select("src", "dst")
-    seen = table(spark.createDataFrame([(root, 0, None)], "id long, level int, parent long"), "bfs")
-    level = 0
-    while depth is None or level < depth:
-        frontier = small(seen.where(F.col("level") == level).select(F.col("id").alias("src")), NARROW)
-        reached = edges.join(frontier, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        level += 1
-        new = table(reached.join(seen.select("id"), "id", "left_anti").select("id", F.lit(level).alias("level"), "parent"), "frontier")
-        if not new.limit(1).count():
+    edges = written(edges.select("src", "dst"), "edges")
+    levels, n = [table(edges.sparkSession.createDataFrame([(root, 0, None)], "id long, level int, parent long"), "bfs")], 1
+    while depth is None or len(levels) <= depth:
+        frontier = levels[-1].select(F.col("id").alias("src"))
+        reached = edges.join(F.broadcast(frontier) if n <= NARROW else frontier, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+        new = table(reached.join(joined_tables(levels).select("id"), "id", "left_anti").select("id", F.lit(len(levels)).alias("level"), "parent"), "bfs")
+        n = new.count()
+        if not n:
             forget(new)
             break
-        last, seen = seen, table(seen.unionByName(new), "bfs")
-        forget(last)
-        forget(new)
-    return seen
+        levels.append(new)
+    return joined_tables(levels)
 
 
 def bfs_log(levels: DataFrame) -> DataFrame:
@@ -66,7 +62,7 @@ def dfs(edges: DataFrame, root: int, limit: int = 2_000_000) -> DataFrame:
 def distances(edges: DataFrame, root: int, weight: str = "weight") -> DataFrame:
     """(id, distance, parent) under non-negative edge weights: relaxation of what changed, to a fixpoint."""
     spark = edges.sparkSession
-    edges = edges.select("src", "dst", F.col(weight).cast("double").alias("weight"))
+    edges = table(edges.select("src", "dst", F.col(weight).cast("double").alias("weight")), "edges")
     best = table(spark.createDataFrame([(root, 0.0, None, True)], "id long, distance double, parent long, active boolean"), "distances")
     while best.where("active").limit(1).count():
         moved = edges.join(best.where("active").select(F.col("id").alias("src"), "distance"), "src")
@@ -79,42 +75,55 @@ def distances(edges: DataFrame, root: int, weight: str = "weight") -> DataFrame:
 
 
 def shortest_path(edges: DataFrame, root: int, goal: int, weight: str | None = None) -> DataFrame:
-    """(pos, id) from root to goal; no rows if goal is out of reach. Ties go to the smallest parent."""
-    spark = edges.sparkSession
-    tree = table((distances(edges, root, weight) if weight else bfs(edges, root)).select("id", "parent"), "tree")
-    path, node = [], goal
-    while node is not None and len(path) <= (1 << 20):
-        found = tree.where(F.col("id") == node).first()
-        if found is None:
-            break
-        path.append(node)
-        node = found["parent"]
-    return spark.createDataFrame([(i, n) for i, n in enumerate(reversed(path))], "pos long, id long")
+    """(pos, id) from root to goal; no rows if goal is out of reach. Ties go to the smallest parent.
+
+    The way back from goal is found by doubling: tables of ancestors 1, 2, 4, ... steps up as far as goal has any, then
+    unrolled backwards, so a path of n steps takes log2(n) joins each way.
+    """
+    tree = (distances(edges, root, weight) if weight else bfs(edges, root)).select("id", F.col("parent").alias("up"))
+    jumps = []
+    jump = table(tree.where("up IS NOT NULL"), "jump")
+    while jump.where(F.col("id") == goal).limit(1).count():
+        jumps.append(jump)
+        jump = table(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").select("id", F.col("next").alias("up")), "jump")
+    forget(jump)
+    path = tree.where(F.col("id") == goal).select("id", F.lit(0).cast("long").alias("back"))
+    for k in reversed(range(len(jumps))):
+        more = jumps[k].join(path, "id").select(F.col("up").alias("id"), (F.col("back") + (1 << k)).alias("back"))
+        path = table(path.unionByName(more), "path")
+        forget(jumps[k])
+    steps = path.agg(F.max("back")).first()[0]
+    return path.select((F.lit(steps).cast("long") - F.col("back")).alias("pos"), "id")
 
 
 def paths(edges: DataFrame, root: int, depth: int) -> DataFrame:
     """(depth, id, paths): how many paths of each length up to depth lead from root to each vertex, repeats counted."""
-    spark, edges = edges.sparkSession, edges.select("src", "dst")
-    now = spark.createDataFrame([(0, root, 1)], "depth int, id long, paths long")
-    out = [now]
+    edges = written(edges.select("src", "dst"), "edges")
+    out = [table(edges.sparkSession.createDataFrame([(0, root, 1)], "depth int, id long, paths long"), "paths")]
     for d in range(1, depth + 1):
-        step = edges.join(small(table(now.select(F.col("id").alias("src"), "paths"), "paths"), NARROW), "src")
+        step = edges.join(small(out[-1].select(F.col("id").alias("src"), "paths"), NARROW), "src")
         now = step.groupBy(F.col("dst").alias("id")).agg(F.sum("paths").alias("paths")).select(F.lit(d).alias("depth"), "id", "paths")
-        now = table(now, "paths")
-        out.append(now)
-    every = out[0]
-    for more in out[1:]:
-        every = every.unionByName(more)
-    return every
-
-
-def partial_tree(nodes: DataFrame, roots: DataFrame, seed: int = 0, tenths: int = 8) -> DataFrame:
-    """(rid, level) of binary-tree objects reached from roots, each child being followed in `tenths` of ten cases, by hash."""
-    now = table(roots.select("rid").distinct().withColumn("level", F.lit(0)), "tree")
-    every = now
-    while now.limit(1).count():
-        child = nodes.join(now, "rid").select(F.explode(F.array("left", "right")).alias("rid"), (F.col("level") + 1).alias("level")).where("rid IS NOT NULL")
-        kept = child.where(F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(10)) < tenths).distinct()
-        now = table(kept.join(every.select("rid"), "rid", "left_anti"), "tree")
-        every = table(every.unionByName(now), "tree-all")
-    return every
+        out.append(table(now, "paths"))
+    return joined_tables(out)
+
+
+def tree_read(nodes: DataFrame, roots: DataFrame, depth: int, follow: Column | None = None) -> DataFrame:
+    """(root, rid, level): objects of binary trees reached from roots (rid) in at most `depth` steps, level by level.
+
+    nodes: (rid, left, right), a null child being none. follow, over the child's rid, says which children are gone down
+    to; by default all are. An object reached twice from one root is there twice, as the tree says.
+    """
+    nodes = written(nodes.select("rid", "left", "right"), "nodes")
+    out = [table(roots.select(F.col("rid").alias("root"), "rid", F.lit(0).alias("level")), "tree")]
+    for d in range(1, depth + 1):
+        child = nodes.join(small(out[-1], NARROW), "rid").select("root", F.explode(F.array("left", "right")).alias("rid"), F.lit(d).alias("level"))
+        child = child.where("rid IS NOT NULL")
+        out.append(table(child if follow is None else child.where(follow), "tree"))
+    return joined_tables(out)
+
+
+def rewrite_leaves(nodes: DataFrame, read: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """nodes with new values in the leaves, objects without children, that read (rid, ...) has reached."""
+    reached = read.select("rid").distinct().withColumn("_reached", F.lit(True))
+    leaf = F.col("left").isNull() & F.col("right").isNull() & F.col("_reached")
+    return nodes.join(reached, "rid", "left").select(*(F.when(leaf, values[c]).otherwise(F.col(c)).cast(t).alias(c) if c in values else F.col(c) for c, t in nodes.dtypes))

@@ -11,8 +11,8 @@ from tessera.plans.lineage import table
 
 def oriented(edges: DataFrame) -> DataFrame:
     """(u, v) with (degree, id) of u below that of v."""
-    rank = table(degree(edges), "degrees")
-    one = undirected(edges)
+    one = table(undirected(edges), "edges")
+    rank = table(degree(one), "degrees")
     for end in ("src", "dst"):
         one = one.join(rank.select(F.col("id").alias(end), F.col("degree").alias(f"{end}_degree")), end)
     low = F.struct("src_degree", "src") < F.struct("dst_degree", "dst")

@@ -1,4 +1,4 @@
-"""Byte or character ranges of long items; offsets count from 0 and are clipped to the item's end."""
+"""Byte ranges of binary items, character ranges of strings; offsets count from 0 and are clipped to the item's end."""
 
 from __future__ import annotations
 
@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def empty() -> Column:
+    """A new item without a byte."""
+    return F.lit(b"")
+
+
 def read(item: Column, offset: int, length: int) -> Column:
     return F.substring(item, offset + 1, length)
 
@@ -36,11 +41,16 @@ def delete(item: Column, offset: int, length: int) -> Column:
 
 
 def length_to_nul(item: Column) -> Column:
-    """Characters before the first NUL, all if there is none."""
+    """Characters before the first NUL, all if there is none. For bytes use bytes_to_nul()."""
     at = F.instr(item, "\0")
     return F.when(at > 0, at - 1).otherwise(F.length(item))
 
 
+def bytes_to_nul(item: Column) -> Column:
+    """Bytes of a binary item before its first zero byte, all if there is none: found in its hex digits, two a byte."""
+    return F.length(F.regexp_extract(F.hex(item), "^(?:(?!00)..)*+", 0)) / 2
+
+
 def alternate_sentences(text: Column) -> Column:
     """Every second sentence, from the first on; sentences end at full stops."""
     return F.array_join(F.filter(F.split(text, r"\."), lambda s, i: i % 2 == 0), ".")

@@ -41,21 +41,26 @@ def long_scan(df: DataFrame, column: str, offset: int, length: int) -> DataFrame
     return df.withColumn("part", F.substring(column, offset + 1, length))
 
 
+#: Rows of a stretch of ordinals: what positional windows are partitioned by.
+STRETCH = 1 << 16
+
+
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """df with rid, its rows' 0-based ordinals in this order; use a total order, or ordinals of equal rows may vary.
 
     Distributed: rows are range-partitioned and numbered within their partition, and only the partitions' counts, one
-    number each, go through the driver.
+    number each, go through the driver. The copy lies in the order of rid, so a lookup or a range of ordinals skips the
+    row groups of others.
     """
-    sorted_ = table(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    sorted_ = table(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).withColumn("_within", within), "numbered")
     counts = {r["_part"]: r["n"] for r in sorted_.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    base, pairs = 0, []
+    base, bases = 0, []
     for part in sorted(counts):
-        pairs.append((part, base))
+        bases += [F.lit(part), F.lit(base).cast("long")]
         base += counts[part]
-    offsets = df.sparkSession.createDataFrame(pairs, "_part int, _base long")
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return sorted_.withColumn("_within", within).join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_base") + F.col("_within")).alias("rid"))
+    start = F.element_at(F.create_map(*bases), F.col("_part")) if bases else F.lit(0).cast("long")
+    return table(sorted_.select(*df.columns, (start + F.col("_within")).alias("rid")), "ordinals")
 
 
 def fetch_first(df: DataFrame, *order: str) -> DataFrame:
@@ -66,16 +71,32 @@ def fetch_last(df: DataFrame, *order: str) -> DataFrame:
     return df.orderBy(*(F.desc(c) for c in order)).limit(1)
 
 
+def _neighbour(df: DataFrame, columns: Sequence[str], prefix: str, step: int) -> DataFrame:
+    """Looks `step` ordinals further inside stretches of them; rows are sent to another stretch only where it asks for them."""
+    stretch = F.floor(F.col("rid") / STRETCH)
+    there = F.floor((F.col("rid") - step) / STRETCH)
+    own = df.withColumn("_stretch", stretch).withColumn("_guest", F.lit(False))
+    guests = own.withColumn("_guest", F.lit(True)).withColumn("_stretch", there).where(there != stretch)
+    there_ = Window.partitionBy("_stretch").orderBy("rid").rangeBetween(step, step)
+    both = own.unionByName(guests).select(*df.columns, "_guest", *(F.first(c).over(there_).alias(f"{prefix}_{c}") for c in columns))
+    return both.where("NOT _guest").drop("_guest")
+
+
 def fetch_next(df: DataFrame, columns: Sequence[str], step: int = 1) -> DataFrame:
     """Numbered df with the given columns of the row `step` further on as next_*, null beyond the end."""
-    other = df.select((F.col("rid") - step).alias("rid"), *(F.col(c).alias(f"next_{c}") for c in columns))
-    return df.join(other, "rid", "left")
+    return _neighbour(df, columns, "next", step)
+
+
+def fetch_previous(df: DataFrame, columns: Sequence[str], step: int = 1) -> DataFrame:
+    """Numbered df with the given columns of the row `step` before as previous_*, null before the start."""
+    return _neighbour(df, columns, "previous", -step)
 
 
-def fetch_previous(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Numbered df with the given columns of the row before as previous_*."""
-    other = df.select((F.col("rid") + 1).alias("rid"), *(F.col(c).alias(f"previous_{c}") for c in columns))
-    return df.join(other, "rid", "left")
+def adjacent_keys(df: DataFrame, key: str, value: Any, rid: str = "rid") -> DataFrame:
+    """(rid, key) of the index entries next to a key value: the last below it and the first above it, as far as there are any."""
+    below = df.where(F.col(key) < F.lit(value)).select(key, rid).orderBy(F.desc(key), F.desc(rid)).limit(1)
+    above = df.where(F.col(key) > F.lit(value)).select(key, rid).orderBy(key, rid).limit(1)
+    return below.unionByName(above).select(rid, key)
 
 
 def from_position(df: DataFrame, rid: int) -> DataFrame:

@@ -14,6 +14,11 @@ def key_card(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.count_distinct(key).alias("keys"))
 
 
+def total(df: DataFrame, column: str) -> DataFrame:
+    """The sum over all rows, added up in each task first."""
+    return df.agg(F.sum(column).alias("total"))
+
+
 def group_count(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from tessera.functions.predicates import Term, three_way
 from tessera.graph import components as wcc
 from tessera.graph import model, program, ranking, traversal, triangles
 from tessera.operators import joins, longitem, mutation, scans, sets, sorting, stats
+from tessera.plans.lineage import shared_dir, written
 from tessera.sources import generate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,9 +157,7 @@ def sort_top20(spark, folder):
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey BETWEEN 10 AND 60")
 def clustered_sort(spark, folder):
-    from tessera.plans.lineage import shared_dir
-
-    path = f"{shared_dir(spark)}/tessera/clustered-{spark.sparkContext.applicationId}-{abs(hash(folder))}"
+    path = f"{shared_dir(spark)}/tessera/clustered-{uuid.uuid4().hex}"
     laid = sorting.clustered(read(spark, folder, "orders").select("o_orderkey", "o_custkey"), path, "o_custkey")
     return scans.index_scan(laid, "o_custkey", 10, 60, ordered=False)
 
@@ -374,12 +374,20 @@ def shortest_path_len(spark, folder):
     return traversal.shortest_path(model.symmetric(g1(spark, folder)), 0, 1000007).agg(F.max("pos").cast("int").alias("hops"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_SYM}, walk(id, level, parent) USING KEY (id) AS (SELECT 0::BIGINT, 0, NULL::BIGINT UNION SELECT e.dst, min(w.level) + 1, min(w.id) FROM walk w JOIN e ON e.src = w.id LEFT JOIN recurring.walk r ON r.id = e.dst WHERE r.id IS NULL GROUP BY e.dst), "
+    "tree AS MATERIALIZED (SELECT * FROM walk), back(pos, id, parent) AS (SELECT level::BIGINT, id, parent FROM tree WHERE id = 1000007 UNION ALL SELECT t.level::BIGINT, t.id, t.parent FROM back b JOIN tree t ON t.id = b.parent) SELECT pos, id FROM back"
+)
 def shortest_path(spark, folder):
     return traversal.shortest_path(model.symmetric(g1(spark, folder)), 0, 1000007)
 
 
-@query()
+@query(
+    f"WITH RECURSIVE g AS MATERIALIZED ({_G3}), adj AS MATERIALIZED (SELECT src, list(dst ORDER BY dst) AS near FROM (SELECT src, dst FROM g UNION SELECT dst, src FROM g) GROUP BY src), "
+    "walk(position, node, stack, marked) AS (SELECT 0::BIGINT, 1::BIGINT, []::BIGINT[], [1]::BIGINT[] UNION ALL SELECT position + 1, s[len(s)], s[:len(s) - 1], m FROM "
+    "(SELECT position, stack || fresh AS s, marked || fresh AS m FROM (SELECT w.*, list_filter(coalesce(a.near, []), lambda x: NOT list_contains(w.marked, x)) AS fresh FROM walk w LEFT JOIN adj a ON a.src = w.node)) WHERE len(s) > 0) "
+    "SELECT position, node AS id FROM walk"
+)
 def dfs_order(spark, folder):
     return traversal.dfs(model.symmetric(g3(spark, folder)), 1)
 
@@ -463,18 +471,110 @@ def common_neighbours(spark, folder):
     return model.common_neighbours(edges, edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
-def _traverse_sql(a: str, b: str, root: int) -> str:
-    return f"WITH RECURSIVE g AS MATERIALIZED ({_G3}), walk(depth, id) AS (SELECT 0, {root}::BIGINT UNION ALL SELECT depth + 1, g.{b} FROM walk JOIN g ON g.{a} = walk.id WHERE depth < 3) SELECT depth, id, count(*) AS paths FROM walk GROUP BY ALL"
+def _traverse_sql(a: str, b: str, root: str, edges: str = _G3, depth: int = 3) -> str:
+    return f"WITH RECURSIVE g AS MATERIALIZED ({edges}), walk(depth, id) AS (SELECT 0, ({root})::BIGINT UNION ALL SELECT depth + 1, g.{b} FROM walk JOIN g ON g.{a} = walk.id WHERE depth < {depth}) SELECT depth, id, count(*) AS paths FROM walk GROUP BY ALL"
 
 
-@query(_traverse_sql("src", "dst", 1))
+@query(_traverse_sql("src", "dst", "1"))
 def traverse_fwd_d3(spark, folder):
     return traversal.paths(g3(spark, folder), 1, 3)
 
 
-@query(_traverse_sql("dst", "src", 150))
+@query(_traverse_sql("dst", "src", "SELECT max(dst) FROM g"))
 def traverse_rev_d3(spark, folder):
-    return traversal.paths(model.reverse(g3(spark, folder)), 150, 3)
+    """From the part of largest number, into which all its arcs lead."""
+    edges = written(g3(spark, folder), "edges")
+    return traversal.paths(model.reverse(edges), edges.agg(F.max("dst")).first()[0], 3)
+
+
+#: Parts of the generated part graph: the size of the published traversal figures.
+PARTS = 20_000
+_R = "((partId * 48271 + ({} * 40692 + {} * 69621 + 7)) % 2147483647 * 16807 % 2147483647)"
+_PART_LINKS = (
+    f"SELECT partId AS src, CASE WHEN {_R.format(5, 'pos')} % 10 < 9 THEN ((partId - 1 + {_R.format(6, 'pos')} % {PARTS // 100} - {PARTS // 200}) % {PARTS} + {PARTS}) % {PARTS} + 1 ELSE {_R.format(6, 'pos')} % {PARTS} + 1 END AS dst "
+    f"FROM (SELECT unnest(range(1, {PARTS} + 1)) AS partId) CROSS JOIN (SELECT unnest(range(3)) AS pos)"
+)
+
+
+def _part_links(spark: SparkSession) -> DataFrame:
+    return generate.part_graph(spark, PARTS)[1].select("src", "dst")
+
+
+@query(_traverse_sql("src", "dst", "1", _PART_LINKS, 7))
+def part_traverse_fwd_d7(spark, folder):
+    return traversal.paths(_part_links(spark), 1, 7)
+
+
+@query(_traverse_sql("dst", "src", "150", _PART_LINKS, 7))
+def part_traverse_rev_d7(spark, folder):
+    return traversal.paths(model.reverse(_part_links(spark)), 150, 7)
+
+
+# Binary trees of objects: six levels, 1-based heap order inside each of N_TREES trees
+
+N_TREES, TREE = 50, 63
+_NODES = f"nodes AS MATERIALIZED (SELECT o * {TREE} + i AS rid, CASE WHEN 2 * i <= {TREE} THEN o * {TREE} + 2 * i END AS \"left\", CASE WHEN 2 * i + 1 <= {TREE} THEN o * {TREE} + 2 * i + 1 END AS \"right\", i * 10 AS value FROM (SELECT unnest(range({N_TREES})) AS o) CROSS JOIN (SELECT unnest(range(1, {TREE} + 1)) AS i))"
+_READ = f"WITH RECURSIVE {_NODES}, walk(root, rid, level) AS (SELECT rid, rid, 0 FROM nodes WHERE (rid - 1) % {TREE} = 0 UNION ALL SELECT root, child, level + 1 FROM (SELECT w.root, w.level, unnest([n.left, n.right]) AS child FROM walk w JOIN nodes n USING (rid)) WHERE child IS NOT NULL AND level < {{}} AND {{}}) "
+
+
+def _nodes(spark: SparkSession) -> DataFrame:
+    i = F.col("id") % TREE + 1
+    child = lambda k: F.when(2 * i + k <= TREE, F.col("id") - F.col("id") % TREE + 2 * i + k)
+    return spark.range(N_TREES * TREE).select((F.col("id") + 1).alias("rid"), child(0).alias("left"), child(1).alias("right"), (i * 10).alias("value"))
+
+
+def _roots(spark: SparkSession) -> DataFrame:
+    return _nodes(spark).where((F.col("rid") - 1) % TREE == 0).select("rid")
+
+
+@query(_READ.format(2, "true") + "SELECT root, rid, level FROM walk")
+def tree_read_d2(spark, folder):
+    return traversal.tree_read(_nodes(spark), _roots(spark), 2)
+
+
+_FOLLOW = "child * 48271 % 2147483647 % 10 < 8"
+
+
+@query(_READ.format(6, _FOLLOW) + "SELECT root, rid, level FROM walk")
+def tree_partial_descent(spark, folder):
+    """Four in five children are followed, by a hash of their own number."""
+    return traversal.tree_read(_nodes(spark), _roots(spark), 6, F.col("rid") * 48271 % 2147483647 % 10 < 8)
+
+
+@query(_READ.format(6, _FOLLOW) + 'SELECT rid, "left", "right", CASE WHEN "left" IS NULL AND "right" IS NULL AND rid IN (SELECT rid FROM walk) THEN value + 1 ELSE value END AS value FROM nodes')
+def tree_leaf_rewrite(spark, folder):
+    return traversal.rewrite_leaves(_nodes(spark), tree_partial_descent(spark, folder), {"value": F.col("value") + 1})
+
+
+@query("SELECT sum(c_acctbal) AS total FROM customer")
+def global_sum(spark, folder):
+    return stats.total(read(spark, folder, "customer"), "c_acctbal")
+
+
+@query(f"SELECT rid, CASE WHEN rid % 10 = 0 THEN 'rewritten ' || rid WHEN rid % 10 = 1 THEN c_name || '!' ELSE c_name END AS c_name FROM {_NUMBERED} WHERE rid % 10 <> 2")
+def write_by_rid(spark, folder):
+    rows = written(_numbered(spark, folder).select("rid", "c_name"), "records")
+    tenth = lambda k: rows.where(F.col("rid") % 10 == k).select("rid")
+    out = mutation.write_by_rid(rows, tenth(0).withColumn("c_name", F.concat(F.lit("rewritten "), "rid")))
+    out = mutation.expand_by_rid(out, "c_name", tenth(1).withColumn("piece", F.lit("!")))
+    return mutation.delete_by_rid(out, tenth(2))
+
+
+@query("SELECT o_orderkey AS rid, o_custkey FROM ((SELECT * FROM orders WHERE o_custkey < 40 ORDER BY o_custkey DESC, o_orderkey DESC LIMIT 1) UNION ALL (SELECT * FROM orders WHERE o_custkey > 40 ORDER BY o_custkey, o_orderkey LIMIT 1))")
+def adjacent_keys(spark, folder):
+    return scans.adjacent_keys(read(spark, folder, "orders").withColumnRenamed("o_orderkey", "rid"), "o_custkey", 40)
+
+
+@query("SELECT id, list(dst ORDER BY dst) AS neighbours FROM (SELECT src AS id, dst FROM (" + _G3 + ")) GROUP BY id")
+def adjacency_lists(spark, folder):
+    return model.adjacency(g3(spark, folder), 1 << 30).select("id", "neighbours")
+
+
+@query("SELECT doc_id, substring(hex(encode(text)), 11, 40) AS part, octet_length(encode(text)) AS n FROM documents")
+def long_read_bytes(spark, folder):
+    """Ranges of bytes, which may cut characters."""
+    item = F.encode("text", "UTF-8")
+    return read(spark, folder, "documents").select("doc_id", F.hex(longitem.read(item, 5, 20)).alias("part"), longitem.bytes_to_nul(item).cast("long").alias("n"))
 
 
 # Generators

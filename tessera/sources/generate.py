@@ -23,6 +23,8 @@ def permutation(spark: SparkSession, n: int, blocks: int = 32) -> DataFrame:
     Step k of the sequence is generator**(k+1) mod prime, so every block starts from a power of its own; values over n
     are skipped, and step keeps the order.
     """
+    if n > SEQUENCES[-1][0]:
+        raise ValueError(f"the sequence is defined for at most {SEQUENCES[-1][0]} rows")
     generator, prime = next((g, p) for limit, g, p in SEQUENCES if n <= limit)
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,7 +57,7 @@ def wisconsin(spark: SparkSession, n: int) -> DataFrame:
 
 def part_graph(spark: SparkSession, n: int, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(parts, links) of n parts with three out-links each, nine in ten of them to one of the nearest hundredth of ids."""
-    r = lambda *salt: F.pmod(F.xxhash64("partId", F.lit(seed), *(F.lit(s) for s in salt)), F.lit(1_000_000_007))
+    r = lambda salt, k=0: (F.col("partId") * 48271 + (salt * 40692 + k * 69621 + seed)) % 2147483647 * 16807 % 2147483647
     ids = spark.range(1, n + 1).withColumnRenamed("id", "partId")
     parts = ids.select("partId", (r(1) % 100_000).alias("x"), (r(2) % 100_000).alias("y"), (r(3) % 315_360_000).alias("date"), F.format_string("type%03d", (r(4) % 10).cast("int")).alias("type"))
     near = max(1, n // 100)

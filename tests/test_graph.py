@@ -1,5 +1,7 @@
 """Graph operators on hand cases."""
 
+from pyspark.sql import functions as F
+
 from tessera.graph import components, model, program, ranking, traversal, triangles
 
 ARCS = [(0, 1), (0, 2), (1, 2), (2, 3), (4, 5)]
@@ -57,3 +59,22 @@ def test_vertex_program(spark):
     found = program.run(program.MinLabel(), model.vertices(both), both)
     assert {tuple(r) for r in found.state.collect()} == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 4), (5, 4)}
     assert found.log[-1] == 0
+
+
+def test_long_paths_by_doubling(spark):
+    path = edges(spark, [(i, i + 1) for i in range(21)])
+    assert [r["id"] for r in traversal.shortest_path(path, 0, 21).orderBy("pos").collect()] == list(range(22))
+    assert [tuple(r) for r in traversal.shortest_path(path, 3, 3).collect()] == [(0, 3)]
+    assert traversal.bfs(path, 0, 4).agg({"level": "max"}).first()[0] == 4
+
+
+def test_adjacency_blocks(spark):
+    star = edges(spark, [(0, i) for i in range(1, 8)] + [(1, 2)])
+    assert {(r["id"], r["block"], tuple(r["neighbours"])) for r in model.adjacency(star, 3).collect()} == {(0, 0, (1, 2, 3)), (0, 1, (4, 5, 6)), (0, 2, (7,)), (1, 0, (2,))}
+
+
+def test_trees(spark):
+    nodes = spark.createDataFrame([(1, 2, 3, "a"), (2, None, 4, "b"), (3, None, None, "c"), (4, None, None, "d")], "rid long, left long, right long, v string")
+    read = traversal.tree_read(nodes, nodes.where("rid = 1"), 1)
+    assert {tuple(r) for r in read.collect()} == {(1, 1, 0), (1, 2, 1), (1, 3, 1)}
+    assert {(r["rid"], r["v"]) for r in traversal.rewrite_leaves(nodes, read, {"v": F.lit("new")}).collect()} == {(1, "a"), (2, "b"), (3, "new"), (4, "d")}

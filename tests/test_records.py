@@ -89,3 +89,110 @@ def test_volume(spark):
         assert v.open_file("f").count() == 3 and v.files() == ["f"]
     finally:
         v.destroy()
+
+
+def test_attribute_files(spark, tmp_path):
+    big = 2**53 + 1
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.bin").write_bytes(struct.pack("<3q", 5, big, -1))
+    found = adjacency.read_attribute(spark, str(tmp_path / "a"), "<i8")
+    assert [tuple(r) for r in found.orderBy("id").collect()] == [(0, 5), (1, big), (2, -1)]
+    (tmp_path / "a" / "two.bin").write_bytes(struct.pack("<q", 6))
+    with pytest.raises(ValueError):
+        adjacency.read_attribute(spark, str(tmp_path / "a"), "<i8")
+    again = adjacency.write_attribute(found.where("id < 2"), str(tmp_path / "w"))
+    again = adjacency.write_attribute(spark.range(4).select("id", (F.col("id") * 2).alias("value")), str(tmp_path / "w"))
+    assert [tuple(r) for r in again.orderBy("id").collect()] == [(0, 0), (1, 2), (2, 4), (3, 6)]
+    for n in (1, 2):
+        adjacency.write_results(spark.createDataFrame([(f"{n} iteration visited 3 nodes",)], "line string"), str(tmp_path / "r"))
+    assert spark.read.text(str(tmp_path / "r")).count() == 2
+
+
+def test_neighbours_over_borders_of_stretches(spark, monkeypatch):
+    monkeypatch.setattr(scans, "STRETCH", 4)
+    df = scans.numbered(spark.range(11).withColumnRenamed("id", "k"), "k")
+    for step in (1, 3, 6):
+        after = {r["rid"]: r["next_k"] for r in scans.fetch_next(df, ["k"], step).collect()}
+        before = {r["rid"]: r["previous_k"] for r in scans.fetch_previous(df, ["k"], step).collect()}
+        assert after == {i: i + step if i + step < 11 else None for i in range(11)}
+        assert before == {i: i - step if i >= step else None for i in range(11)}
+    assert scans.numbered(df.drop("rid").where("false"), "k").count() == 0
+
+
+def test_cursors(spark):
+    assert [scans.set_cursor(5, 20, 3, w) for w in (0, 1, 2)] == [3, 8, 16] and scans.set_cursor(5, 20, 0, 2) == 20
+    with pytest.raises(ValueError):
+        scans.set_cursor(0, 0, 0, 3)
+    df = spark.range(5).select("id", F.lit("abcdef").alias("item"))
+    assert [r["id"] for r in scans.cursor(scans.index_scan(df, "id", 1, 3))] == [1, 2, 3]
+    assert scans.long_scan(df, "item", 4, 9).first()["part"] == "ef"
+
+
+def test_records_by_rid(spark):
+    df = spark.createDataFrame([(0, "a", 1), (1, "b", 2), (2, "c", 3)], "rid long, s string, n int")
+    out = mutation.write_by_rid(df, spark.createDataFrame([(1, None), (9, "z")], "rid long, s string"))
+    assert {tuple(r) for r in out.collect()} == {(0, "a", 1), (1, None, 2), (2, "c", 3)}
+    assert {r["s"] for r in mutation.expand_by_rid(df, "s", spark.createDataFrame([(2, "!!")], "rid long, piece string")).collect()} == {"a", "b", "c!!"}
+    assert mutation.delete_by_rid(df, df.where("n > 1")).count() == 1
+
+
+def test_bytes(spark):
+    item = F.lit(bytes([1, 255, 16, 0, 7]))
+    made = [longitem.bytes_to_nul(item).cast("int"), longitem.bytes_to_nul(longitem.empty()).cast("int"), longitem.delete(item, 1, 2), longitem.insert_before(item, 1, F.lit(b"\xfe")), longitem.read(item, 3, 9)]
+    assert list(spark.range(1).select(*(c.alias(f"c{i}") for i, c in enumerate(made))).first()) == [3, 0, bytearray([1, 0, 7]), bytearray([1, 254, 255, 16, 0, 7]), bytearray([0, 7])]
+
+
+def test_indices_and_protection(spark):
+    v = Volume(spark, "tessera_test_index").create()
+    try:
+        v.create_file("f", spark.range(100).select((F.col("id") % 10).alias("k"), "id"))
+        with pytest.raises(sets.DuplicateKey):
+            v.create_index("f", Index("k", unique=True))
+        v.create_index("f", Index("k", buckets=4))
+        v.append("f", spark.createDataFrame([(7, 1000)], "id long, k long"))
+        assert {r["id"] for r in scans.hash_scan(v.open_file("f"), "k", 1000).collect()} == {7}
+        buckets = lambda: {r["col_name"]: r["data_type"] for r in spark.sql("DESCRIBE EXTENDED tessera_test_index.f").collect()}.get("Num Buckets")
+        assert buckets() == "4"
+        assert "Exchange" not in v.open_file("f").groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+        with pytest.raises(ValueError):
+            v.create_index("f", Index("id", buckets=2))
+        v.drop_index("f", "k")
+        assert v.open_file("f").count() == 101 and buckets() is None
+        v.create_index("f", Index("id", clustered=True))
+        v.protect("f", False)
+        with pytest.raises(PermissionError):
+            v.append("f", v.open_file("f"))
+        v.protect("f", True)
+        assert v.append("f", v.open_file("f").limit(1)).count() == 102
+    finally:
+        v.destroy()
+
+
+def test_generator_bound(spark):
+    with pytest.raises(ValueError):
+        generate.permutation(spark, 100_000_001)
+
+
+def test_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from tessera.plans import lineage
+
+    unset = SimpleNamespace(get=lambda *a: None)
+    made = lambda master, conf=unset: SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master=master, applicationId="x"), conf=unset)
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            lineage.shared_dir(made(master))
+        assert lineage.shared_dir(made(master, SimpleNamespace(get=lambda *a: "s3a://b/c/"))) == "s3a://b/c"
+    assert lineage.shared_dir(made("local[8]")) == lineage.shared_dir(made("local[8]")) != ""
+
+
+def test_entry_without_the_llm_subpackage():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    for gone in ("tessera.llm", "public_tokenizers", "xxhash_or_any_other", "corpus_pipeline"):
+        code = f"import sys; sys.modules[{gone!r}] = None; import __spark_entry__ as e; n = len(e.queries()); print(n, len(e.oracle_sql()))"
+        out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, capture_output=True, text=True)
+        assert out.returncode == 0 and int(out.stdout.split()[0]) > 60, out.stderr

@@ -15,7 +15,8 @@ PASSAGE words of the item with its values makes a document contaminated whatever
 Defined results: null or empty texts and items match nothing; an item of fewer than WINDOW words is one window of its own
 length; of several alignments with one item that pass the best stays, ties to the first; repeated rows are one; rows with a null
 doc_id are reported under null; of rows that share a doc_id but not the text, clean() drops those that hold an item, rows
-with a null doc_id included; other columns are ignored.
+with a null doc_id included; a text of any length is one row of windows; other columns are ignored, or pass through clean()
+unchanged whatever their names; no documents or no items give no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.support import columns, small, table
+from tessera.llm.support import NARROW, columns, small, table
 
 WINDOW, LITERALS = 8, 3
 COVERAGE, CONSISTENCY = 0.5, 0.75
 RUN, PASSAGE = 4, 13
+#: Bytes of Parquet files up to which item windows and templates are broadcast; in memory they are some ten times as large.
+WIDE = 16 << 20
 NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
 UNITS = "km|m|cm|mm|miles?|feet|foot|ft|inch(?:es)?|yards?|kg|g|mg|grams?|pounds?|lbs?|ounces?|tons?|l|ml|lit(?:er|re)s?|gallons?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|mph|kmh|dollars?|cents?|euros?|percent|degrees?|watts?|volts?|joules?|newtons?|hertz|bytes?"
 
@@ -92,7 +95,7 @@ def _few_literals(known: DataFrame, lengths: list[int]) -> tuple[DataFrame, list
 def _aligned(words: DataFrame, mine: DataFrame, lengths: list[int]) -> DataFrame:
     """Distinct (doc_id, own, item_id, shift, variant) of windows of words (doc_id, own, words) that are among mine."""
     every = F.concat(*(F.coalesce(_windows(F.col("words"), n), F.array().cast("array<struct<place:int,hash:bigint>>")) for n in lengths)) if len(lengths) > 1 else _windows(F.col("words"), lengths[0])
-    found = words.select("doc_id", "own", F.explode(every).alias("w")).select("doc_id", "own", F.col("w.place").alias("place"), F.col("w.hash").alias("hash")).join(small(mine), "hash")
+    found = words.select("doc_id", "own", F.explode(every).alias("w")).select("doc_id", "own", F.col("w.place").alias("place"), F.col("w.hash").alias("hash")).join(small(mine, size=WIDE), "hash")
     return found.select("doc_id", "own", "item_id", (F.col("place") - F.col("at")).alias("shift"), "variant").distinct()
 
 
@@ -118,7 +121,7 @@ def _passing(docs: DataFrame, items: DataFrame) -> DataFrame:
     again = docs.dropDuplicates(["doc_id", "own"]).join(small(table(aligned.select(F.col("own").alias("o")).distinct(), "aligned")), F.col("own") == F.col("o"), "left_semi")
     read = table(again.select(F.col("doc_id").alias("d"), F.col("own").alias("o"), canonical(F.col("text")).alias("words"), surface(F.col("text")).alias("values")), "aligned-words")
     both = aligned.join(read, (aligned["own"] == read["o"]) & aligned["doc_id"].eqNullSafe(read["d"])).drop("d", "o")
-    both = both.join(small(known).select(F.col("item_id"), F.col("words").alias("item_words"), F.col("values").alias("item_values"), "variants"), "item_id")
+    both = both.join(small(known, size=WIDE).select(F.col("item_id"), F.col("words").alias("item_words"), F.col("values").alias("item_values"), "variants"), "item_id")
     return measures(both).select("doc_id", "own", "item_id", "shift", *_NAMES)
 
 
@@ -189,4 +192,7 @@ def best(passing: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the contaminated rows, which are known by doc_id, null or not, and text."""
     leaks = table(_passing(docs, items).select(F.col("doc_id").alias("__leak"), F.col("own").alias("__own")).distinct(), "leaks")
-    return docs.join(small(leaks), (F.xxhash64(docs["text"]) == leaks["__own"]) & docs["doc_id"].eqNullSafe(leaks["__leak"]), "left_anti")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    own, key = (plain[names[docs.columns.index(c)]] for c in ("text", "doc_id"))
+    return plain.join(small(leaks, NARROW), (F.xxhash64(own) == leaks["__own"]) & key.eqNullSafe(leaks["__leak"]), "left_anti").toDF(*docs.columns)

@@ -7,7 +7,8 @@ then taken in order of their share as long as each raises the likelihood by more
 
 Defined results: `und` with score 0 for a null text, one without letters, or when nothing was learned; else the language
 of the largest share, ties to the first by name, and its share as score. Rows with a null label or text teach nothing;
-repeated rows count each time; other columns are ignored.
+repeated rows count each time; a text of any length is read whole; other columns are ignored, and where one that is kept
+has the name of a column that is added, that one gets an underscore behind its name; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.hashing import buffers
-from tessera.llm.support import columns, tidy
+from tessera.llm.support import columns, free, tidy
 
 BUCKETS = 1 << 15
 #: More languages than this raise an error: the model must fit the driver and each task.
@@ -105,13 +106,15 @@ def mixture(model: Model, found: np.ndarray, penalty: float = 3.0) -> dict[int,
 
 
 def predict(docs: DataFrame, model: Model, *keep: str | Column) -> DataFrame:
-    """Per row of docs (text): the columns in keep, then lang_pred, score and mixture (language to proportion)."""
+    """Per row of docs (text): the columns in keep, then lang_pred, score and mixture (language to proportion; see free())."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     kept = docs.select(*keep)
+    names_made = [free(kept, n) for n in ("lang_pred", "score", "mixture")]
     made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("mixture", T.MapType(T.StringType(), T.DoubleType()))]
-    schema = T.StructType([*kept.schema.fields, *made])
-    names_kept, width = kept.columns, len(kept.columns)
+    width = len(kept.columns)
+    names_kept = [f"c{i}" for i in range(width)]
+    schema = T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(names_kept, kept.schema, strict=True)), *made])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -133,7 +136,7 @@ def predict(docs: DataFrame, model: Model, *keep: str | Column) -> DataFrame:
                 [*names_kept, "lang_pred", "score", "mixture"],
             )
 
-    return docs.select(*keep, docs["text"].alias("__text")).mapInArrow(tidy(run), schema)
+    return docs.select(*keep, docs["text"]).toDF(*names_kept, "text").mapInArrow(tidy(run), schema).toDF(*kept.columns, *names_made)
 
 
 def lettered(text: str | None) -> bool:

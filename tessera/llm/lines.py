@@ -1,6 +1,7 @@
 """Removal of lines that repeat, exactly or nearly, anywhere in the corpus.
 
-Lines are what newlines separate. Equal lines have one 64-bit hash and are one node from the start. A line's set is its
+Lines are what newlines separate. Equal lines have equal 64-bit hashes and are one node from the start; a second hash
+tells apart lines of which only the first is equal, so 128 bits decide that a line repeats. A line's set is its
 distinct shingles of SHINGLE characters (A-Z lower-cased; a shorter line is one shingle), its signature ROWS * BANDS
 MinHash values, which post it to BANDS buckets; at a similarity of 0.8 a pair is missed with probability 0.002. Bucket
 members are paired with the bucket's hub, whole shingle sets are compared, union-find joins what is linked, and buckets
@@ -8,14 +9,16 @@ that still hold several components are gone through block by block (see linking)
 first by (doc_id, line number) stays; all other occurrences go.
 
 Defined results: blank lines (of white space alone) take no part and stay; a null text stays null; rows with equal doc_id
-and text are one document given twice and treated alike; rows with a null doc_id take no part and stay whole; a document
-that loses all its lines is left with an empty text, or its blank lines; other columns pass unchanged.
+and text are one document given twice and treated alike; of rows with equal doc_id but other texts the one of the smaller
+hash comes first; rows with a null doc_id take no part and stay whole; a text of any length is read whole, a few million
+characters of the batch at a time; a document that loses all its lines is left with an empty text, or its blank lines;
+other columns pass unchanged, and where one has the name of a column that is added, that one gets an underscore behind
+its name; no rows give no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cached_property, partial
 from itertools import chain
 
 import numpy as np
@@ -25,11 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.hashing import distinct, mix
-from tessera.llm.linking import border_links, hub_pairs, open_members
+from tessera.llm.linking import Judge, border_links, hub_pairs, open_members
 from tessera.llm.near_dup import similar
-from tessera.llm.support import NARROW, columns, components, merged, small, table, tidy
+from tessera.llm.support import NARROW, columns, components, forget, free, merged, small, table, tidy
 
 SHINGLE, ROWS, BANDS, LIKELY = 8, 4, 12, 27
+#: Tells the second hash of a line from the first.
+CHECK = 7
 _FACTORS = (mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SALTS = mix(np.arange(101, 101 + BANDS, dtype=np.uint64))
 
@@ -100,7 +105,7 @@ def bands(signs: np.ndarray) -> np.ndarray:
     return (code & ~np.uint64(1)).view(np.int64)
 
 
-_FOUND = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("own", pa.int64()), ("line", pa.int32()), ("bucket", pa.int64()), ("part", pa.int32()), ("posts", pa.binary())])
+_FOUND = pa.schema([("id", pa.int64()), ("check", pa.int64()), ("doc_id", pa.int64()), ("own", pa.int64()), ("line", pa.int32()), ("bucket", pa.int64()), ("part", pa.int32()), ("posts", pa.binary())])
 
 
 def _rows(n: int, **given: pa.Array) -> pa.RecordBatch:
@@ -133,7 +138,7 @@ def parts(docs: DataFrame) -> int:
 
 
 def occurrences(docs: DataFrame, ranges: int) -> DataFrame:
-    """Rows of three kinds. (id, doc_id, own, line): a line that takes part. (bucket, id): a member of a bucket that is known
+    """Rows of three kinds. (id, check, doc_id, own, line): a line that takes part. (bucket, id): a member of a bucket that is known
     to hold several lines. (part, posts): postings of a task's distinct lines to a range of buckets, one a bucket, as pairs of
     64-bit numbers: the bucket, plus one where the task has members of it, and the line's id.
 
@@ -143,13 +148,14 @@ def occurrences(docs: DataFrame, ranges: int) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
+        salt = xxh64_intdigest(CHECK.to_bytes(8, "little"), 42)
         seen: set[int] = set()
         fresh: list[int] = []
         held_bands: list[np.ndarray] = []
         for batch in chain(rows, [None]):
             lo = 0
             while batch is not None and lo < batch.num_rows:
-                ids, who, where, found, held = [], [], [], [], 0
+                ids, checks, who, where, found, held = [], [], [], [], [], 0
                 hi = lo
                 while hi < batch.num_rows and (hi == lo or held < 4_000_000):  # characters at a time
                     text = batch.column(1)[hi].as_py() or ""
@@ -157,8 +163,10 @@ def occurrences(docs: DataFrame, ranges: int) -> DataFrame:
                     for n, line in enumerate(text.split("\n")):
                         if not line or line.isspace():
                             continue
-                        h = xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)  # as Spark's xxhash64()
+                        raw = line.encode("utf-8", "surrogatepass")
+                        h = xxh64_intdigest(raw, 42)  # as Spark's xxhash64(text)
                         ids.append(h)
+                        checks.append(xxh64_intdigest(raw, salt))  # as its xxhash64(CHECK, text)
                         who.append(hi)
                         where.append(n)
                         if h not in seen:
@@ -170,14 +178,14 @@ def occurrences(docs: DataFrame, ranges: int) -> DataFrame:
                 if found:
                     held_bands.append(bands(signatures(found)))
                 who_ = pa.array(who, pa.int32())
-                yield _rows(len(ids), id=pa.array(np.array(ids, np.uint64).view(np.int64)), doc_id=batch.column(0).take(who_), own=batch.column(2).take(who_), line=pa.array(where, pa.int32()))
+                yield _rows(len(ids), id=pa.array(np.array(ids, np.uint64).view(np.int64)), check=pa.array(np.array(checks, np.uint64).view(np.int64)), doc_id=batch.column(0).take(who_), own=batch.column(2).take(who_), line=pa.array(where, pa.int32()))
             if fresh and (batch is None or len(fresh) > 150_000):
                 yield from _posted(np.array(fresh, np.uint64), np.concatenate(held_bands), ranges)
                 fresh, held_bands = [], []
                 if len(seen) > 1_000_000:
                     seen.clear()
 
-    types = "id long, doc_id long, own long, line int, bucket long, part int, posts binary"
+    types = "id long, check long, doc_id long, own long, line int, bucket long, part int, posts binary"
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text", "own").mapInArrow(tidy(run), types)
 
 
@@ -229,54 +237,40 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long")
 
 
-class Members:
-    """The lines of a block, for border_links(): a signature, then the line."""
+def judge(percent: int) -> Judge:
+    """For border_links(): signatures are MinHash values, of which a similarity of 0.8 agrees in fewer than LIKELY places
+    six times in 100,000; blobs are lines."""
 
-    def __init__(self, blobs: list[bytes], percent: int):
-        n = 4 * ROWS * BANDS
-        self.signs, self.percent = np.frombuffer(b"".join(x[:n] for x in blobs), np.uint32).reshape(len(blobs), -1), percent
-        self.short = self.signs.astype(np.uint16)
-        self.texts, self.sets = [x[n:] for x in blobs], {}
+    def read(signs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        values = np.frombuffer(b"".join(signs), np.uint32).reshape(len(signs), -1)
+        return values.astype(np.uint16), bands(values)
 
-    def prepare(self, wanted: list[int]) -> None:
-        lo = 0
-        while lo < len(wanted):
-            hi, lines, size = lo, [], 0
-            while hi < len(wanted) and (hi == lo or size < 500_000):  # bytes at a time
-                lines.append(self.texts[wanted[hi]].decode("utf-8", "surrogatepass"))
-                size += len(self.texts[wanted[hi]])
+    def decode(lines: list[bytes]) -> list[np.ndarray]:
+        out, lo = [], 0
+        while lo < len(lines):
+            hi, some, size = lo, [], 0
+            while hi < len(lines) and (hi == lo or size < 500_000):  # bytes at a time
+                some.append(lines[hi].decode("utf-8", "surrogatepass"))
+                size += len(lines[hi])
                 hi += 1
-            self.sets.update(zip(wanted[lo:hi], shingle_sets(lines), strict=True))
+            out += shingle_sets(some)
             lo = hi
+        return out
 
-    def likely(self, i: int, start: int, bucket: int) -> np.ndarray:
-        # A similarity of 0.8 agrees in fewer than LIKELY of its places six times in 100,000.
-        j = start + np.flatnonzero((self.short[start:] == self.short[i]).sum(1) >= LIKELY)
-        if not len(j):
-            return j
-        same = self.keys[j] == self.keys[i]
-        return j[same.any(1) & (self.keys[i, same.argmax(1)] == bucket)]  # in the first bucket that both share
+    return Judge(read, decode, LIKELY, percent)
 
-    @cached_property
-    def keys(self) -> np.ndarray:
-        return bands(self.signs)
 
-    def linked(self, i: int, j: int) -> bool:
-        return similar(self.sets[i], self.sets[j], self.percent)
-
-
-def _blobs(texts: DataFrame) -> DataFrame:
+def _signs(texts: DataFrame) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            texts = batch.column(1).to_pylist()
-            out = [s.tobytes() + t.encode("utf-8", "surrogatepass") for s, t in zip(signatures(texts), texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "blob"])
+            made = signatures(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in made], pa.binary())], ["id", "sign"])
 
-    return texts.select("id", "text").mapInArrow(tidy(run), "id long, blob binary")
+    return texts.select("id", "text").mapInArrow(tidy(run), "id long, sign binary")
 
 
 def linked(docs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """(id, label) of lines that are linked with others, from their occurrences()."""
+    """(id, check, label) of lines that are linked with others, from their occurrences()."""
     posted, pairs = hub_pairs(table(members(found), "members"))
     pairs = table(pairs, "pairs")
     wanted = table(posted.select("id").distinct(), "wanted")
@@ -285,9 +279,10 @@ def linked(docs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     links = table(verified(pairs, texts, percent), "verified")
     labels = table(components(links), "labels")
     rest = open_members(posted, labels)
-    held = table(_blobs(texts.join(rest.select("id").distinct(), "id", "left_semi")), "blobs")
-    more = table(border_links(rest, held, partial(Members, percent=percent)), "border")
-    return merged(labels, more)
+    of = lambda ids: texts.join(small(ids, NARROW), "id", "left_semi")
+    signs = table(_signs(of(table(rest.select("id").distinct(), "open-ids"))), "signs")
+    more = table(border_links(rest, signs, lambda ids: of(ids).select("id", F.encode("text", "UTF-8").alias("blob")), judge(percent)), "border")
+    return merged(labels, more).join(texts.select("id", F.xxhash64(F.lit(CHECK).cast("long"), "text").alias("check")), "id")
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -295,20 +290,25 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     docs = columns(docs, "doc_id", "text").withColumn("own", F.xxhash64("text"))
     found = table(occurrences(docs, parts(docs)), "occurrences")
     labels = table(linked(docs, found, percent), "labels")
-    of = found.where("line IS NOT NULL").select("id", "doc_id", "own", "line").join(small(labels, NARROW), "id", "left").withColumn("label", F.coalesce("label", "id")).drop("id")
-    several = table(of.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label"), "several")
-    of = table(of.join(small(several, NARROW), "label"), "occurring")
-    first = table(of.groupBy("label").agg(F.min(F.struct("doc_id", "own", "line")).alias("first")), "first")
-    gone = of.join(first, "label").where(F.struct("doc_id", "own", "line") != F.col("first"))
+    # A line is (label, 0) if it is linked, else (id, check): 128 bits, so that no line goes for one that it merely shares a hash with.
+    of = found.where("line IS NOT NULL").select("id", "check", "doc_id", "own", "line").join(small(labels, NARROW), ["id", "check"], "left")
+    of = of.select(F.coalesce("label", "id").alias("label"), F.when(F.col("label").isNull(), F.col("check")).otherwise(0).alias("check"), "doc_id", "own", "line")
+    line = ["label", "check"]
+    several = table(of.groupBy(*line).agg(F.count("*").alias("n")).where("n > 1").select(*line), "several")
+    of = table(of.join(small(several, NARROW), line), "occurring")
+    forget(found)
+    first = table(of.groupBy(*line).agg(F.min(F.struct("doc_id", "own", "line")).alias("first")), "first")
+    gone = of.join(first, line).where(F.struct("doc_id", "own", "line") != F.col("first"))
     return gone.groupBy("doc_id", "own").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs with its own columns, texts rebuilt of the lines that stay, and two more: n_lines and n_removed."""
+    """docs with its own columns, texts rebuilt of the lines that stay, and two more: n_lines and n_removed (see free())."""
     lost = repeated_lines(docs, percent).select(F.col("doc_id").alias("__doc"), F.col("own").alias("__own"), F.col("gone").alias("__gone"))
-    joined = docs.join(lost, (docs["doc_id"] == lost["__doc"]) & (F.xxhash64(docs["text"]) == lost["__own"]), "left").drop("__doc", "__own")
     names = [f"c{i}" for i in range(len(docs.columns))]
-    at = docs.columns.index("text")
+    at, key = docs.columns.index("text"), docs.columns.index("doc_id")
+    plain = docs.toDF(*names)
+    joined = plain.join(lost, (plain[names[key]] == lost["__doc"]) & (F.xxhash64(plain[names[at]]) == lost["__own"]), "left").drop("__doc", "__own")
     made = [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]
     schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)] + made)
 
@@ -326,4 +326,4 @@ def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
             held = [*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 : len(names)]]
             yield pa.RecordBatch.from_arrays([*held, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], schema.names)
 
-    return joined.toDF(*names, "__gone").mapInArrow(tidy(run), schema).toDF(*docs.columns, "n_lines", "n_removed")
+    return joined.mapInArrow(tidy(run), schema).toDF(*docs.columns, free(docs, "n_lines"), free(docs, "n_removed"))

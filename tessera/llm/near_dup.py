@@ -11,15 +11,17 @@ follows the Jaccard similarity. Steps, each a DataFrame job over written tables:
    meets most others, so a bucket of k members yields k - 1 pairs;
 4. pairs pass if the likelihood of both registers gives a similarity near the threshold, then both texts are read and
    their whole sets compared;
-5. buckets whose members fall into several components after step 4 are gone through block by block: pairs over component
-   borders pass the same two tests inside the block, which gives back only links that join components;
+5. buckets whose members fall into several components after step 4 are gone through block by block: members whose
+   registers agree often enough over a component's border have their sets fetched and compared in the block, which gives
+   back only links that join components;
 6. union-find over links between representatives, and classes joined back.
 
 At J = 0.85, 32 bands of 8 registers miss a pair with probability 2e-5. Below that threshold the same registers are dealt
 out a second time, in another order, into 32 more bands: at J = 0.8, where 32 bands miss about 2e-3. Defined results: a null text or one without
-words has an empty set and is linked with nothing; a text of one to four words has its whole sequence as one shingle;
-repeated rows are copies; rows with equal doc_id are one document; a null doc_id takes no part, its component is null
-and it is kept; other columns of the input are ignored.
+words has an empty set and is linked with nothing; a text of one to four words has its whole sequence as one shingle; a
+text of any length is read whole, a few megabytes of the batch at a time; ties between hubs go to any; repeated rows are
+copies; rows with equal doc_id are one document, which is linked by each of its texts; a null doc_id takes no part, its
+component is null and it is kept; other columns of the input are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.hashing import Words, batches, common, distinct, mix
-from tessera.llm.linking import border_links, crowded, hub_pairs, open_members
-from tessera.llm.support import columns, components, small, table, tidy
+from tessera.llm.linking import Judge, border_links, crowded, hub_pairs, open_members
+from tessera.llm.support import NARROW, columns, components, small, table, tidy
 
 
 @dataclass(frozen=True)
@@ -89,9 +90,9 @@ class SetSketch:
 SKETCH = SetSketch()
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Registers of the union of two sets."""
-    return np.maximum(a, b)
+def merge(*registers: np.ndarray) -> np.ndarray:
+    """Registers of the union of sets, out of the registers of each."""
+    return np.maximum.reduce(registers)
 
 
 def sets(found: Words, k: int) -> Iterator[np.ndarray]:
@@ -160,6 +161,23 @@ def bound(percent: int) -> float:
     return t - max(0.11, 5 * (t * (1 - t) / SKETCH.registers) ** 0.5)
 
 
+def least_agreeing(percent: int) -> int:
+    """How many registers of a similar pair agree at least: four standard deviations below their number at the threshold."""
+    p = 1 + 2 * np.log1p(-(1 - percent / 100) / 2 * (SKETCH.base - 1) / SKETCH.base) / np.log(SKETCH.base)
+    return int(SKETCH.registers * p - 4 * (SKETCH.registers * p * (1 - p)) ** 0.5)
+
+
+def judge(percent: int) -> Judge:
+    """For border_links(): signatures are registers, blobs the codes of whole sets."""
+
+    def read(signs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        registers = np.frombuffer(b"".join(signs), np.uint8).reshape(len(signs), SKETCH.registers)
+        bands = banded(registers, percent)
+        return registers, band_keys(bands, np.arange(bands.shape[1])[None, :]).view(np.int64)
+
+    return Judge(read, lambda blobs: [np.frombuffer(x, np.uint64) for x in blobs], least_agreeing(percent), percent)
+
+
 def postings(reps: DataFrame, percent: int) -> DataFrame:
     """(bucket, id) for every band of registers."""
 
@@ -206,45 +224,27 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                 i += n
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
 
-    texts = columns(docs, "doc_id", "text")
-    one, two = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    wanted = table(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "paired")
+    texts = texts_of(docs, wanted)
+    one, two = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
-class Members:
-    """The members of a block, for border_links(): registers, then the codes of the whole set."""
-
-    def __init__(self, blobs: list[bytes], least: float, percent: int):
-        n = SKETCH.registers
-        self.registers = np.frombuffer(b"".join(x[:n] for x in blobs), np.uint8).reshape(len(blobs), n)
-        self.bands, self.sets = banded(self.registers, percent), [np.frombuffer(x, np.uint64, offset=n) for x in blobs]
-        self.sizes, self.least, self.percent = np.array([len(s) for s in self.sets]), least, percent
-
-    def likely(self, i: int, start: int, bucket: int) -> np.ndarray:
-        j = start + np.flatnonzero((self.registers[start:] == self.registers[i]).mean(1) >= self.least - 0.05)  # looser than the likelihood
-        same = self.bands[j] == self.bands[i]
-        first = same.argmax(1)  # the first band that both share: every pair is tested in one bucket
-        j = j[same.any(1) & (band_keys(self.bands[i, first], first).view(np.int64) == bucket)]
-        return j[SKETCH.jaccard(np.repeat(self.registers[i : i + 1], len(j), 0), self.registers[j], np.full(len(j), self.sizes[i]), self.sizes[j]) >= self.least]
-
-    def prepare(self, wanted: list[int]) -> None:
-        """Whole sets are held from the start."""
-
-    def linked(self, i: int, j: int) -> bool:
-        return similar(self.sets[i], self.sets[j], self.percent)
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text): the distinct texts of these ids."""
+    some = columns(docs, "doc_id", "text").withColumnRenamed("doc_id", "id").join(small(ids, NARROW), "id", "left_semi")
+    return some.withColumn("own", F.xxhash64("text")).dropDuplicates(["id", "own"]).select("id", "text")
 
 
-def blobs(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, blob) of these ids, as Members reads them."""
+def whole_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, blob): the codes of the set of every text of these ids."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for lo, hi, found in batches(batch.column(1), lower=True):
-                out = [SKETCH.values(SKETCH.minima(s)).tobytes() + s.tobytes() for s in sets(found, k)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(out, pa.binary())], ["id", "blob"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets(found, k)], pa.binary())], ["id", "blob"])
 
-    texts = columns(docs, "doc_id", "text").withColumnRenamed("doc_id", "id").join(small(ids), "id", "left_semi")
-    return texts.select("id", "text").mapInArrow(tidy(run), "id long, blob binary").dropDuplicates(["id"])
+    return texts_of(docs, ids).mapInArrow(tidy(run), "id long, blob binary")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
@@ -253,17 +253,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     known = table(sketches(docs, k), "sketches")
     full = known.where("d1 IS NOT NULL AND doc_id IS NOT NULL")
     classes = table(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("id")), "classes")
-    reps = table(full.join(classes, ["d1", "d2"]).where("doc_id = id").select("id", "registers", F.col("n_shingles").alias("n")).dropDuplicates(["id"]), "representatives")
+    # Where rows share a doc_id, it may stand for several classes and so have several rows of registers.
+    reps = table(full.join(classes, ["d1", "d2"]).where("doc_id = id").dropDuplicates(["id", "d1", "d2"]).select("id", "registers", F.col("n_shingles").alias("n")), "representatives")
     members, pairs = hub_pairs(crowded(postings(reps, percent)))
-    pairs = table(likely(pairs, reps, least), "likely")
+    pairs = table(likely(pairs, reps, least).distinct(), "likely")
     links = table(verified(pairs, docs, k, percent), "verified")
     # Ids of one class, or of several where rows share a doc_id, hang together too.
-    labels = components(links)
+    labels = table(components(links), "labels")
     rest = open_members(members, labels)
-    held = table(blobs(docs, table(rest.select("id").distinct(), "open-ids"), k), "blobs")
-    links = links.unionByName(table(border_links(rest, held, partial(Members, least=least, percent=percent)), "border"))
+    signs = reps.select("id", F.col("registers").alias("sign")).join(small(table(rest.select("id").distinct(), "open-ids"), NARROW), "id", "left_semi")
+    links = links.unionByName(table(border_links(rest, signs, lambda ids: whole_sets(docs, ids, k), judge(percent)), "border"))
     shared = full.join(classes, ["d1", "d2"]).where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).distinct()
-    labels = components(links.unionByName(_ambiguous(shared)))
+    labels = components(links.unionByName(_ambiguous(shared, classes)))
     tied = known.join(classes, ["d1", "d2"], "left")
     of_class = F.coalesce(F.col("label"), F.col("class_id"), F.col("doc_id"))
     tied = tied.withColumnRenamed("id", "class_id").join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
@@ -271,7 +272,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     return tied.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _ambiguous(shared: DataFrame) -> DataFrame:
-    """Class links of ids that stand in several classes, which happens only where rows share a doc_id."""
+def _ambiguous(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """Class links (doc_id, representative) of ids that stand in several classes, which happens only where rows share a
+    doc_id: those with several other representatives, and those that represent a class themselves."""
     several = shared.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    return shared.join(several, "a", "left_semi")
+    return shared.join(several, "a", "left_semi").unionByName(shared.join(classes.select(F.col("id").alias("a")).distinct(), "a", "left_semi"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.graph.components import components
 from tessera.plans.lineage import NARROW, forget, shared_dir, small, table
 
-__all__ = ["NARROW", "columns", "components", "forget", "merged", "shared_dir", "small", "table", "tidy"]
+__all__ = ["NARROW", "columns", "components", "forget", "free", "merged", "shared_dir", "small", "table", "tidy"]
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:
@@ -21,6 +21,15 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(df[n] for n in names))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as it takes to differ from df's columns: what an operator calls a column
+    that it adds to those of its input."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
     """components() of the links behind labels and of more (a, b) together: only labels are contracted any further."""
     for k in "ab":

@@ -4,11 +4,13 @@ A vector is represented by its nearest pivots in order. The pivots are a bounded
 hash); every row is indexed. Rows are dealt to shards of about SHARD rows; in a shard each pivot has an inverted file of
 (row, rank), and a query adds up, over its own pivots' files, what those shared ranks take off the footrule distance of
 the two prefixes. The best FRACTION of the shard (at least LEAST rows, all ties at the border included) are reranked by
-exact cosine. Queries meet shards in blocks, so a task holds at most SHARD rows and BLOCK queries.
+exact cosine. Queries meet shards in blocks, so a task holds at most SHARD rows and BLOCK queries; a query goes through the
+files of its own pivots only, which hold PREFIX / PIVOTS of a shard's rows each.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor does a null
 id; vectors are compared only with those of equal length; a row with the query's id is no candidate; ties go to the
-smaller id; repeated candidates count once; other columns are ignored.
+smaller id; repeated candidates count once, whichever of the vectors under one id is nearest; vectors of any length are
+read whole; other columns are ignored, whatever their names; no rows, or no queries, give no rows.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.support import columns, table
 
-PIVOTS, PREFIX, SHARD, BLOCK = 256, 32, 4096, 1024
-FRACTION, LEAST = 0.3, 400
+PIVOTS, PREFIX, SHARD, BLOCK = 512, 64, 4096, 1024
+FRACTION, LEAST = 0.1, 64
 
 
 def clean(vectors: DataFrame) -> DataFrame:
@@ -92,10 +94,10 @@ def _search(rows: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
     wanted = min(n, max(LEAST, int(np.ceil(FRACTION * n))))
     out = []
     for query, vector, perm in zip(asked["vec_id"], asked["vector"], asked["prefix"], strict=True):
-        shared = np.zeros(n, np.int64)
-        for r, p in enumerate(np.frombuffer(perm, np.uint16)):
-            a, b = starts[p], starts[p + 1]
-            shared[owner[a:b]] += length - np.maximum(rank[a:b], r)
+        own = np.frombuffer(perm, np.uint16)
+        first, files = starts[own], starts[own + 1] - starts[own]
+        at = np.repeat(first - np.cumsum(files) + files, files) + np.arange(files.sum())  # the places of the query's own files, end to end
+        shared = np.bincount(owner[at], length - np.maximum(rank[at], np.repeat(np.arange(len(own)), files)), n)
         some = np.flatnonzero(shared >= np.partition(shared, n - wanted)[n - wanted])
         some = some[ids[some] != query]
         q = np.frombuffer(vector)

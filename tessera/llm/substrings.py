@@ -10,22 +10,25 @@ anywhere else is removed. Windows that repeat at one length alone are extended t
    every run of a seed is whole found again (same words, same place of the seed), all windows of those runs repeat;
 3. the other runs of such seeds are cut into single windows, whose fingerprints are counted.
 
-levels() repeats the same step at 2, 4, ... times the length inside the passages that are left, until no candidates
-survive, for the longest repeated length of each document; remove() needs the first alone, since a word covered by a
-repeated longer window is covered by a repeated shorter one.
+Then the same at twice that length, four times, ..., until no candidates survive: a window of 2 * length words is a
+candidate only where its two halves both repeat, so each level works on what the one before has left, in the documents
+that it has left. The first level decides what is removed, since a word covered by a repeated longer window is covered by a
+repeated shorter one; the last that a document reaches is the length of its longest repeated passage, to a factor of two.
 
 Fingerprints that decide are 128 bits (two of 64 that differ in their constants). A passage in a third of all documents
 is one key: counts are aggregated before the shuffle, and joins on it are plain ones, which Spark splits.
 
-Defined results: a null or empty text has no words; a document shorter than the window keeps all; repeated rows are
-copies and lose all covered words, as any copies do; rows with equal doc_id but other text are told apart by the text's
-hash; rows with a null doc_id take part in counting but are returned whole; other columns are ignored.
+Defined results: a null or empty text has no words; a document shorter than the window keeps all; a text of any length is
+read whole, a few megabytes of the batch at a time; repeated rows are copies and lose all covered words, as any copies do;
+rows with equal doc_id, a null one included, but other text are told apart by the text's hash; other columns are ignored,
+whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.hashing import Words, batches, prefix, spans
-from tessera.llm.support import columns, small, table, tidy
+from tessera.llm.support import columns, forget, table, tidy
 
 
 def leftmost_least(codes: np.ndarray, width: int) -> np.ndarray:
@@ -46,9 +49,12 @@ def leftmost_least(codes: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def runs(found: Words, length: int, seed: int) -> tuple[np.ndarray, ...]:
-    """Per run of windows with one seed: row, first window, number of windows, seed's fingerprint, two of the whole run."""
+def runs(found: Words, length: int, seed: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Per run of windows with one seed: row, first window, number of windows, seed's fingerprint, two of the whole run.
+    allowed, by word, says which windows are candidates; by default all are."""
     first = np.concatenate([np.arange(lo, hi - length + 1) for lo, hi in zip(found.rows[:-1], found.rows[1:], strict=True) if hi - lo >= length] or [np.zeros(0, np.int64)])
+    if allowed is not None:
+        first = first[allowed[first]]
     if not len(first):
         none = np.zeros(0, np.int64)
         return none, none, none, none, none, none
@@ -64,17 +70,37 @@ def runs(found: Words, length: int, seed: int) -> tuple[np.ndarray, ...]:
     return row, start - found.rows[row], count, codes[place].view(np.int64), whole[0].view(np.int64), whole[1].view(np.int64)
 
 
+def _listed(spots: pa.Scalar, words: int) -> np.ndarray:
+    """Whether a window listed in spots (first, n) starts at each word."""
+    edge = np.zeros(words + 1, np.int64)
+    first, n = (spots.values.field(k).to_numpy() for k in range(2))
+    ok = first < words
+    np.add.at(edge, first[ok], 1)
+    np.add.at(edge, np.minimum(first + n, words)[ok], -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 def _seeds(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """(doc_id, own, first, n, seed, w1, w2): a row for every run of docs (doc_id, text, own)."""
+    """(doc_id, own, first, n, seed, w1, w2): a row for every run of docs (doc_id, text, own). Where docs has spots as well,
+    the repeated windows of half the length, only windows whose halves are both among them count."""
+    wide = "spots" in docs.columns
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for lo, hi, found in batches(batch.column(1)):
-                row, first, n, code, w1, w2 = runs(found, length, seed)
+                allowed = None
+                if wide:
+                    allowed = np.zeros(int(found.rows[-1]), bool)
+                    for i in range(lo, hi):
+                        a, b = found.rows[i - lo], found.rows[i - lo + 1]
+                        mine = _listed(batch.column(3)[i], int(b - a))
+                        half = length // 2
+                        allowed[a : max(a, b - half)] = mine[: max(0, b - a - half)] & mine[half:]
+                row, first, n, code, w1, w2 = runs(found, length, seed, allowed)
                 ids = (c.slice(lo, hi - lo).take(pa.array(row)) for c in (batch.column(0), batch.column(2)))
                 yield pa.RecordBatch.from_arrays([*ids, *(pa.array(x) for x in (first, n, code, w1, w2))], ["doc_id", "own", "first", "n", "seed", "w1", "w2"])
 
-    return docs.select("doc_id", "text", "own").mapInArrow(tidy(run), "doc_id long, own long, first long, n long, seed long, w1 long, w2 long")
+    return docs.select("doc_id", "text", "own", *["spots"] * wide).mapInArrow(tidy(run), "doc_id long, own long, first long, n long, seed long, w1 long, w2 long")
 
 
 def _windows(docs: DataFrame, length: int) -> DataFrame:
@@ -108,21 +134,45 @@ def keyed(docs: DataFrame) -> DataFrame:
     return columns(docs, "doc_id", "text").withColumn("own", F.xxhash64("text"))
 
 
+def _of(docs: DataFrame, found: DataFrame, how: str, *names: str) -> DataFrame:
+    """docs (doc_id, text, own) joined with columns of found (doc_id, own, ...); null ids are equal."""
+    other = found.select(F.col("doc_id").alias("d"), F.col("own").alias("o"), *names)
+    return docs.join(other, (docs["own"] == other["o"]) & docs["doc_id"].eqNullSafe(other["d"]), how).select("doc_id", "text", "own", *names)
+
+
 def repeated(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, own, spots): per row of keyed() docs the runs of windows (first window, number) that occur elsewhere too; a table."""
+    """(doc_id, own, spots): per row of keyed() docs the runs of windows (first window, number) that occur elsewhere too; a
+    table. With a column spots, as _seeds() takes it, only those candidates are looked at."""
     found = table(_seeds(docs, length, -(-length // 2)), "seeds")
     whole = found.groupBy("seed", "w1", "w2").agg(F.count("*").alias("n"))
     fate = whole.groupBy("seed").agg(F.sum("n").alias("total"), F.min("n").alias("least")).where("total > 1")
     fate = table(fate, "fate")  # so that the join below meets plain exchanges, which Spark splits where skewed
-    alive = table(found.join(fate.select("seed", "least"), "seed").where("doc_id IS NOT NULL OR least = 1").select(*KEY, "first", "n", (F.col("least") > 1).alias("whole")), "alive")
+    alive = table(found.join(fate.select("seed", "least"), "seed").select(*KEY, "first", "n", (F.col("least") > 1).alias("whole")), "alive")
     listed = F.collect_list(F.struct("first", "n"))
-    open_ = alive.where("NOT whole").groupBy(*KEY).agg(listed.alias("runs")).select(F.col("doc_id").alias("d"), F.col("own").alias("o"), "runs")
-    same = (docs["own"] == open_["o"]) & docs["doc_id"].eqNullSafe(open_["d"])
-    single = table(_windows(docs.join(open_, same).select("doc_id", "text", "own", "runs"), length), "windows")
+    forget(found)
+    open_ = table(alive.where("NOT whole").groupBy(*KEY).agg(listed.alias("runs")), "runs")
+    single = table(_windows(_of(docs, open_, "inner", "runs"), length), "windows")
     twice = table(single.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2"), "twice")
     hits = single.join(twice, ["w1", "w2"], "left_semi").select(*KEY, "first", F.lit(1).cast("long").alias("n"))
-    every = alive.where("whole").select(*KEY, "first", "n").unionByName(hits).where("doc_id IS NOT NULL")
-    return table(every.groupBy(*KEY).agg(listed.alias("spots")), "repeats")
+    every = alive.where("whole").select(*KEY, "first", "n").unionByName(hits)
+    out = table(every.groupBy(*KEY).agg(listed.alias("spots")), "repeats")
+    for done in (fate, alive, open_, single, twice):
+        forget(done)
+    return out
+
+
+def levels(docs: DataFrame, length: int = 35) -> tuple[DataFrame, DataFrame]:
+    """Tables of keyed() docs: repeated() at length, and (doc_id, own, longest), the greatest of 2 * length, 4 * length, ...
+    at which a window of the document still repeats. Each level reads what survived the one before."""
+    first = last = repeated(docs, length)
+    out, now = [first.select(*KEY, F.lit(length).cast("long").alias("longest"))], 2 * length
+    while True:
+        last = repeated(_of(docs, last, "inner", "spots"), now)
+        if not last.limit(1).count():
+            break
+        out.append(last.select(*KEY, F.lit(now).cast("long").alias("longest")))
+        now *= 2
+    return first, table(reduce(DataFrame.unionByName, out).groupBy(*KEY).agg(F.max("longest").alias("longest")), "longest")
 
 
 def _covered(spots: pa.Scalar | None, words: int, length: int) -> np.ndarray:
@@ -137,10 +187,12 @@ def _covered(spots: pa.Scalar | None, words: int, length: int) -> np.ndarray:
 
 
 def remove(docs: DataFrame, length: int = 35, digest: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) per row of docs (doc_id, text): the kept words joined by one space, or with
-    digest, as kept_sha256, the hex digest of that string in UTF-8."""
+    """(doc_id, n_words, n_removed, kept, longest) per row of docs (doc_id, text): the kept words joined by one space, or
+    with digest, as kept_sha256, the hex digest of that string in UTF-8; and the longest repeated length by levels(), or 0."""
     docs = keyed(docs)
-    joined = docs.join(repeated(docs, length), KEY, "left").select("doc_id", "text", "spots")
+    spots, longest = levels(docs, length)
+    both = spots.join(longest.select(F.col("doc_id").alias("d"), F.col("own").alias("o"), "longest"), (F.col("own") == F.col("o")) & F.col("doc_id").eqNullSafe(F.col("d")))
+    joined = _of(docs, both, "left", "spots", "longest").select("doc_id", "text", "spots", F.coalesce("longest", F.lit(0)).alias("longest"))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -156,24 +208,7 @@ def remove(docs: DataFrame, length: int = 35, digest: bool = False) -> DataFrame
                 gone.append(len(words) - len(left))
                 joined = b" ".join(left)
                 kept.append(hashlib.sha256(joined).hexdigest() if digest else joined.decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names)
-
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "kept"]
-    return joined.mapInArrow(tidy(run), f"doc_id long, n_words long, n_removed long, {names[3]} string")
-
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), batch.column(3)], names)
 
-def levels(docs: DataFrame, length: int = 35) -> DataFrame:
-    """(doc_id, longest): per document with a repeated window the greatest of length, 2 * length, 4 * length, ... at which
-    one still repeats. Each level reads only the documents that survived the one before."""
-    docs = keyed(docs)
-    texts, out, now = docs, None, length
-    while True:
-        found = repeated(texts, now).select(*KEY)
-        if not found.limit(1).count():
-            break
-        mine = found.select("doc_id", F.lit(now).cast("long").alias("longest"))
-        out = mine if out is None else out.unionByName(mine)
-        texts, now = docs.join(small(found), KEY, "left_semi"), 2 * now
-    if out is None:
-        return columns(docs, "doc_id").where("false").select("doc_id", F.lit(0).cast("long").alias("longest"))
-    return out.groupBy("doc_id").agg(F.max("longest").alias("longest"))
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "kept", "longest"]
+    return joined.mapInArrow(tidy(run), f"doc_id long, n_words long, n_removed long, {names[3]} string, longest long")

@@ -12,7 +12,9 @@ texts in the formatted string.
 
 Defined results: null role or text counts as empty; a parent that does not exist makes its child a root; messages on a
 cycle have no root and belong to no path; of rows with equal (conv_id, node) one stays, the least by (parent, score, role,
-text); a null conv_id or node is left out; other columns are ignored; no rows give no conversations.
+text); of paths of equal score the smaller leaf comes first; a null conv_id is a conversation of its own; a null node is
+left out; trees of any depth and texts of any length are taken whole, one conversation being one row; other columns are
+ignored, whatever their names; no rows give no conversations.
 """
 
 from __future__ import annotations
@@ -60,7 +62,7 @@ def chains(turns: DataFrame) -> DataFrame:
     """Linear conversations (conv_id, turn, role, text) as messages, each replying to the one before it by turn."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     node = F.row_number().over(order).cast("long")
-    numbered = columns(turns, "conv_id", "turn", "role", "text").where("conv_id IS NOT NULL").withColumn("node", node)
+    numbered = columns(turns, "conv_id", "turn", "role", "text").withColumn("node", node)
     return numbered.select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
 
 
@@ -69,8 +71,21 @@ def paths(tree: DataFrame, branches: int = 1) -> DataFrame:
 
     tree: (conv_id, node, parent, score). distance counts from the leaf, which has 0.
     """
+    return _unwrapped(_paths(_wrapped(columns(tree, "conv_id", "node", "parent", "score")), branches))
+
+
+def _wrapped(df: DataFrame) -> DataFrame:
+    """conv_id as a struct, which joins take as equal where it holds null on both sides."""
+    return df.withColumn("conv_id", F.struct(F.col("conv_id").alias("id")))
+
+
+def _unwrapped(df: DataFrame) -> DataFrame:
+    return df.withColumn("conv_id", F.col("conv_id.id"))
+
+
+def _paths(tree: DataFrame, branches: int) -> DataFrame:
     known = columns(tree, *_KEY).withColumnRenamed("node", "parent").withColumn("found", F.lit(True))
-    start = columns(tree, "conv_id", "node", "parent", "score").join(known, ["conv_id", "parent"], "left")
+    start = tree.join(known, ["conv_id", "parent"], "left")
     up = F.when(F.col("found"), F.col("parent"))
     jumps = [table(start.select(*_KEY, up.alias("up"), F.lit(1).cast("long").alias("far"), F.coalesce("score", F.lit(0.0)).alias("sum"), F.when(up.isNull(), F.col("node")).alias("root")), "jump")]
     limit = 1
@@ -100,11 +115,11 @@ def paths(tree: DataFrame, branches: int = 1) -> DataFrame:
 
 def conversations(messages: DataFrame, branches: int = 1) -> DataFrame:
     """(conv_id, leaf, path_score, formatted, loss) of the chosen paths of messages (conv_id, node, parent, score, role, text)."""
-    messages = columns(messages, "conv_id", "node", "parent", "score", "role", "text").where("conv_id IS NOT NULL AND node IS NOT NULL")
+    messages = columns(messages, "conv_id", "node", "parent", "score", "role", "text").where("node IS NOT NULL")
     one = messages.groupBy(*_KEY).agg(F.min(F.struct("parent", "score", "role", "text")).alias("m")).select(*_KEY, "m.*")
-    one = table(one, "messages")
-    rows = paths(one, branches).join(one.select(*_KEY, "role", "text"), _KEY)
-    turns = rows.groupBy("conv_id", "leaf", "path_score").agg(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("order"), "role", "text"))).alias("turns"))
+    one = table(_wrapped(one), "messages")
+    rows = _paths(one.select("conv_id", "node", "parent", "score"), branches).join(one.select(*_KEY, "role", "text"), _KEY)
+    turns = _unwrapped(rows.groupBy("conv_id", "leaf", "path_score").agg(F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("order"), "role", "text"))).alias("turns")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -114,10 +114,10 @@ def test_chat_trees(spark):
     rows = [(1, 1, None, 0.0, "system", odd), (1, 2, 1, 1.0, "user", None), (1, 3, 1, 5.0, "user", "b"), (1, 4, 3, 0.0, "assistant", odd), (1, 5, 2, 1.0, "assistant", "c"), (2, 1, 9, 0.0, None, "x"), (3, 1, 2, 0.0, "user", "loop"), (3, 2, 1, 0.0, "user", "loop"), (None, 1, None, 0.0, "user", "z"), (2, 1, 9, 0.0, None, "x")]
     tree = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, node long, parent long, score double, role string, text string, leaf string")
     got = {r["conv_id"]: r for r in chat.conversations(tree).collect()}
-    assert set(got) == {1, 2} and got[1]["leaf"] == 4
+    assert set(got) == {None, 1, 2} and got[1]["leaf"] == 4
     assert chat.read_turns(got[1]["formatted"]) == [("system", odd), ("user", "b"), ("assistant", odd)]
     assert [chat.unescape(got[1]["formatted"][s["start"] : s["end"]]) for s in got[1]["loss"]] == [odd]
-    assert chat.conversations(tree, 2).count() == 3
+    assert chat.conversations(tree, 2).count() == 4
     assert chat.conversations(tree.where("false")).count() == 0
 
 

@@ -165,13 +165,15 @@ def levels(docs: DataFrame, length: int = 35) -> tuple[DataFrame, DataFrame]:
     """Tables of keyed() docs: repeated() at length, and (doc_id, own, longest), the greatest of 2 * length, 4 * length, ...
     at which a window of the document still repeats. Each level reads what survived the one before."""
     first = last = repeated(docs, length)
-    out, now = [first.select(*KEY, F.lit(length).cast("long").alias("longest"))], 2 * length
+    out, now, texts = [first.select(*KEY, F.lit(length).cast("long").alias("longest"))], length, docs
     while True:
-        last = repeated(_of(docs, last, "inner", "spots"), now)
+        reach = F.array_max(F.transform("spots", lambda s: s["first"] + s["n"])) - F.array_min(F.transform("spots", lambda s: s["first"]))
+        texts = table(_of(texts, last.where(reach > now), "inner", "spots"), "survivors")  # the others have no two windows `now` words apart
+        now *= 2
+        last = repeated(texts, now)
         if not last.limit(1).count():
             break
         out.append(last.select(*KEY, F.lit(now).cast("long").alias("longest")))
-        now *= 2
     return first, table(reduce(DataFrame.unionByName, out).groupBy(*KEY).agg(F.max("longest").alias("longest")), "longest")
 
 

@@ -168,7 +168,7 @@ def levels(docs: DataFrame, length: int = 35) -> tuple[DataFrame, DataFrame]:
     out, now, texts = [first.select(*KEY, F.lit(length).cast("long").alias("longest"))], length, docs
     while True:
         reach = F.array_max(F.transform("spots", lambda s: s["first"] + s["n"])) - F.array_min(F.transform("spots", lambda s: s["first"]))
-        texts = table(_of(texts, last.where(reach > now), "inner", "spots"), "survivors")  # the others have no two windows `now` words apart
+        texts = table(_of(texts.select(*docs.columns), last.where(reach > now), "inner", "spots"), "survivors")  # the others have no two windows `now` words apart
         now *= 2
         last = repeated(texts, now)
         if not last.limit(1).count():

@@ -1,7 +1,7 @@
 """Benchmark decontamination by template windows; DataFrame functions only.
 
 A text is canonicalised: a word with a digit becomes a number placeholder, a unit after a number a unit placeholder, a
-capitalised word inside a sentence a name placeholder; punctuation goes and letters are lower-cased. Benchmark items that
+capitalised word inside a sentence, or after a number or unit, a name placeholder; punctuation goes and letters are lower-cased. Benchmark items that
 share a template are one, under their smallest id. Every window of WINDOW canonical words of a document is looked up by
 hash among all item windows, which gives alignments of a document with an item.
 Windows of fewer than LITERALS literal words say too little as a template; they are looked up by their words as they
@@ -43,7 +43,7 @@ def canonical(text: Column) -> Column:
     x = F.regexp_replace(text, "[\ue000-\ue002]", "")
     x = F.when(x.rlike(r"\p{N}"), F.regexp_replace(x, r"(?<!\S)[^\s\p{N}]*+\p{N}\S*", NUMBER)).otherwise(x)
     x = F.when(F.contains(x, F.lit(NUMBER)), F.regexp_replace(x, rf"(?<={NUMBER}\s)(?i:{UNITS})(?=[\s\p{{P}}]|$)", UNIT)).otherwise(x)
-    x = F.regexp_replace(x, r"\p{Lu}(?<=[\p{Ll},;] \p{Lu})\p{Ll}*+(?!\p{L})", NAME)
+    x = F.regexp_replace(x, "\\p{Lu}(?<=[\\p{Ll},;\ue000\ue001] \\p{Lu})\\p{Ll}*+(?!\\p{L})", NAME)
     x = F.regexp_replace(F.lower(x), "[^\\p{L}\\p{M}\\s\ue000-\ue002]+", "")
     return F.split(F.trim(F.regexp_replace(x, r"\s+", " ")), " ")
 

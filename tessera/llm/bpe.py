@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.support import columns, tidy
 
-#: Bytes of a word that are contracted at once; longer words are cut, and joined again where tokens allow it.
+#: Bytes of a word that are contracted at once, under 512, as the query packs rank and position by 1024; longer words are
+#: cut, and joined again where tokens allow it.
 CHUNK = 32
 #: Bytes and words that one recursive query takes, and pieces that a task keeps.
-BYTES, WORDS, PIECES = 1_000_000, 30_000, 400_000
+BYTES, WORDS, PIECES = 1_000_000, 30_000, 800_000
 
 _ENCODE = """
 WITH RECURSIVE state(word, pos, token, after, following, done) AS (
@@ -39,9 +40,9 @@ WITH RECURSIVE state(word, pos, token, after, following, done) AS (
   SELECT s.word, s.pos, CASE WHEN s.pos = b.pos THEN b.made ELSE s.token END, CASE WHEN s.pos = b.pos THEN b.after ELSE s.after END,
     CASE WHEN s.pos = b.pos THEN b.following WHEN s.after = b.pos THEN b.made ELSE s.following END, b.pos IS NULL
   FROM state s LEFT JOIN (
-    SELECT x.word, x.best % 4294967296 AS pos, x.best // 4294967296 AS made, x.gone, y.after, y.following
+    SELECT x.word, x.best % 1024 AS pos, x.best // 1024 AS made, x.gone, y.after, y.following
     FROM (
-      SELECT word, min(rank * 4294967296 + pos) AS best, arg_min(after, rank * 4294967296 + pos) AS gone
+      SELECT word, min(rank * 1024 + pos) AS best, arg_min(after, rank * 1024 + pos) AS gone
       FROM state JOIN merges ON pair = token * 1048576::BIGINT + following
       WHERE NOT done GROUP BY word
     ) x JOIN state y ON y.word = x.word AND y.pos = x.gone
@@ -97,6 +98,10 @@ def vocabulary(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+def _ids(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, "<u4")
+
+
 class Codec:
     """One task's encoder and decoder."""
 
@@ -117,34 +122,35 @@ class Codec:
         self.db.register("vocabulary_in", pa.table({"token": pa.array(ranks.values(), pa.int32()), "hex": pa.array([z.hex() for z in ranks])}))
         self.db.execute("CREATE TABLE vocabulary AS FROM vocabulary_in")
 
-    def contract(self, words: list[bytes], query: str = _ENCODE) -> list[np.ndarray]:
+    def contract(self, words: list[bytes], query: str = _ENCODE) -> list[bytes]:
         """Ids of each word, by a recursive query; words of like length go together, as a round costs what is unfinished."""
-        order = sorted(range(len(words)), key=lambda k: len(words[k]))
-        out: list[np.ndarray] = [_NONE] * len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        lengths = lengths[order]
+        sizes, order = np.cumsum(lengths), order.tolist()
+        out = [b""] * len(words)
         lo = 0
         while lo < len(order):
-            hi, size = lo, 0
-            while hi < len(order) and hi - lo < WORDS and (hi == lo or size + len(words[order[hi]]) <= BYTES):
-                size += len(words[order[hi]])
-                hi += 1
+            most = int(np.searchsorted(sizes, sizes[lo] - lengths[lo] + BYTES, "right"))
+            hi = min(lo + WORDS, max(lo + 1, most))
             some = [words[k] for k in order[lo:hi]]
-            n = np.array([len(w) for w in some])
+            n = lengths[lo:hi]
             ends = np.cumsum(n)
             word, token = np.repeat(np.arange(len(some), dtype=np.int32), n), self.single[np.frombuffer(b"".join(some), np.uint8)]
-            pos = np.arange(len(token), dtype=np.int64) - (ends - n)[word]
+            pos = np.arange(len(token), dtype=np.int32) - (ends - n).astype(np.int32)[word]
             last = np.zeros(len(token), bool)
             last[ends - 1] = True
             self.db.register("start", pa.table({"word": word, "pos": pos, "token": token, "after": pa.array(pos + 1, mask=last), "following": pa.array(np.append(token[1:], 0).astype(np.int32), mask=last)}))
             found = self.db.sql(query).fetchnumpy()
             self.db.unregister("start")
-            at = np.lexsort((found["pos"], found["word"]))
-            stop = np.cumsum(np.bincount(found["word"], minlength=len(some)))
-            for k, ids in zip(order[lo:hi], np.split(found["token"][at].astype("<u4"), stop[:-1]), strict=True):
-                out[k] = ids
+            at = np.argsort((found["word"].astype(np.int64) << 32) + found["pos"])
+            ids, stop = found["token"][at].astype("<u4").tobytes(), (4 * np.cumsum(np.bincount(found["word"], minlength=len(some)))).tolist()
+            for k, a, b in zip(order[lo:hi], [0, *stop], stop, strict=False):
+                out[k] = ids[a:b]
             lo = hi
         return out
 
-    def contract_long(self, words: list[bytes]) -> list[np.ndarray]:
+    def contract_long(self, words: list[bytes]) -> list[bytes]:
         """The same for words of any length, whose chunks are contracted alone and then joined by twos.
 
         A sequence of tokens is what contraction gives of its bytes if and only if each two neighbours are what it gives of
@@ -155,22 +161,22 @@ class Codec:
         """
         parts = [[w[i : i + CHUNK] for i in range(0, len(w), CHUNK)] for w in words]
         flat = iter(self.contract([x for p in parts for x in p]))
-        held = [[next(flat) for _ in p] for p in parts]
+        held = [[_ids(next(flat)) for _ in p] for p in parts]
         while any(len(p) > 1 for p in held):
             pairs = [(p[k], p[k + 1]) for p in held for k in range(0, len(p) - 1, 2)]
             made = iter(self._joined(pairs))
             held = [[next(made) if k + 1 < len(p) else p[k] for k in range(0, len(p), 2)] for p in held]
-        return [p[0] for p in held]
+        return [p[0].tobytes() for p in held]
 
     def _joined(self, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-        out: list[np.ndarray] = [_NONE] * len(pairs)
+        out = [_ids(b"")] * len(pairs)
         reach, open_ = 2, list(range(len(pairs)))
         while open_:
             ends = [(pairs[k][0][-reach:], pairs[k][1][:reach]) for k in open_]
             texts = [b"".join([self.tokens[t] for t in [*a.tolist(), *b.tolist()]]) for a, b in ends]
             once = list(dict.fromkeys(texts))
             brief, wide = ([t for t in once if (len(t) > 2 * CHUNK) == long] for long in (False, True))
-            ids = dict(zip(brief + wide, self.contract(brief) + self.contract(wide, _ENCODE_ALL), strict=True))
+            ids = dict(zip(brief + wide, map(_ids, self.contract(brief) + self.contract(wide, _ENCODE_ALL)), strict=True))
             rest = []
             for k, (a, b), text in zip(open_, ends, texts, strict=True):
                 x, y, new = *pairs[k], ids[text]
@@ -188,8 +194,10 @@ class Codec:
         words = {w for ws in cuts for w in ws}
         ids = {w: self.ranks[w].to_bytes(4, "little") for w in words if w in self.ranks}
         rest = [w for w in words if w not in ids]
-        for some, found in ((x, f(x)) for f, x in ((self.contract, [w for w in rest if len(w) <= CHUNK]), (self.contract_long, [w for w in rest if len(w) > CHUNK]))):
-            ids |= {w: t.tobytes() for w, t in zip(some, found, strict=True)}
+        long = [w for w in rest if len(w) > CHUNK]
+        short = [w for w in rest if len(w) <= CHUNK] if long else rest
+        ids |= zip(short, self.contract(short), strict=True)
+        ids |= zip(long, self.contract_long(long), strict=True)
         whole = [ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws]) for ws in cuts]
         self.ids.update(zip(order, whole, strict=True))
         self.back.update(zip(order, self.decode(whole), strict=True))
@@ -216,7 +224,6 @@ class Codec:
 
 #: White space other than space and newline.
 _SPACES = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_NONE = np.zeros(0, "<u4")
 _AWKWARD = ("  ", " \n", "\n ", "\n\n", "\0", *_SPACES)
 
 

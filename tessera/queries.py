@@ -546,9 +546,9 @@ def tree_leaf_rewrite(spark, folder):
     return traversal.rewrite_leaves(_nodes(spark), tree_partial_descent(spark, folder), {"value": F.col("value") + 1})
 
 
-@query("SELECT sum(c_acctbal) AS total FROM customer")
+@query("SELECT round(sum(c_acctbal), 2) AS total FROM customer")
 def global_sum(spark, folder):
-    return stats.total(read(spark, folder, "customer"), "c_acctbal")
+    return stats.total(read(spark, folder, "customer"), "c_acctbal").select(F.round("total", 2).alias("total"))
 
 
 @query(f"SELECT rid, CASE WHEN rid % 10 = 0 THEN 'rewritten ' || rid WHEN rid % 10 = 1 THEN c_name || '!' ELSE c_name END AS c_name FROM {_NUMBERED} WHERE rid % 10 <> 2")
@@ -565,9 +565,9 @@ def adjacent_keys(spark, folder):
     return scans.adjacent_keys(read(spark, folder, "orders").withColumnRenamed("o_orderkey", "rid"), "o_custkey", 40)
 
 
-@query("SELECT id, list(dst ORDER BY dst) AS neighbours FROM (SELECT src AS id, dst FROM (" + _G3 + ")) GROUP BY id")
+@query("SELECT id, string_agg(dst, ',' ORDER BY dst) AS neighbours FROM (SELECT src AS id, dst FROM (" + _G3 + ")) GROUP BY id")
 def adjacency_lists(spark, folder):
-    return model.adjacency(g3(spark, folder), 1 << 30).select("id", "neighbours")
+    return model.adjacency(g3(spark, folder), 1 << 30).select("id", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours"))
 
 
 @query("SELECT doc_id, substring(hex(encode(text)), 11, 40) AS part, octet_length(encode(text)) AS n FROM documents")

@@ -49,3 +49,12 @@ def test_clashing_names_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b c a b c", "x", 2, 3), (2, None, "x", 2, 3), (2, "", "x", 2, 3)], "doc_id long, text string, spots string, own int, runs int")
     assert sorted(map(tuple, substrings.remove(docs, 3).collect())) == [(1, 6, 6, "", 3), (2, 0, 0, "", 0), (2, 0, 0, "", 0)]
     assert substrings.remove(docs.where("false"), 3).count() == 0
+
+
+def test_rows_alike_list_their_windows_once(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(None, text)] * 200 + [(7, text)] * 50, "doc_id long, text string").repartition(8)
+    found = substrings.repeated(substrings.keyed(docs), 12).collect()
+    assert sorted((r["doc_id"] or 0, sum(s["n"] for s in r["spots"])) for r in found) == [(0, 29), (7, 29)]
+    got = collections.Counter(map(tuple, substrings.remove(docs, 12).collect()))
+    assert got == {(None, 40, 40, "", 24): 200, (7, 40, 40, "", 24): 50}

@@ -35,9 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.hashing import Words, batches, prefix, spans
+from tessera.llm.hashing import Words, batches, buffers, prefix, spans, words
 from tessera.llm.support import columns, forget, table, tidy
 
+#: Bytes of text that one task may hold with the fingerprints of all its words: some 200 MB, 600 where words are single letters.
+TOGETHER = 8 << 20
+
 
 def leftmost_least(codes: np.ndarray, width: int) -> np.ndarray:
     """For every window of `width` codes, the place of its least code, the leftmost of equals."""
@@ -161,15 +164,52 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
     return out
 
 
-def levels(docs: DataFrame, length: int = 35) -> tuple[DataFrame, DataFrame]:
+def _further(texts: DataFrame, length: int) -> DataFrame:
+    """(doc_id, own, longest): the levels from length on, in one task, over keyed texts with spots, the repeated windows of
+    half that length; only of rows that reach one."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, names) for b in rows] or [pa.RecordBatch.from_pylist([], schema)])
+        found = words(*buffers(held["text"]))
+        size = np.diff(found.rows)
+        end, longest, now = np.repeat(found.rows[1:], size), np.zeros(held.num_rows, np.int64), length
+        again = np.concatenate([np.zeros(0, bool), *(_listed(x, n) for x, n in zip(held["spots"], size.tolist(), strict=True))])
+        sums = [prefix(found.codes, s) for s in (0, 1)]
+        while True:
+            at = np.flatnonzero(again)
+            at = at[at + now <= end[at]]
+            at = at[again[at + now // 2]]
+            w1, w2 = (spans(sums[s], at, now, s) for s in (0, 1))
+            order = np.lexsort((w2, w1))
+            same = np.flatnonzero((w1[order[1:]] == w1[order[:-1]]) & (w2[order[1:]] == w2[order[:-1]]))
+            if not len(same):
+                break
+            again = np.zeros(len(again), bool)
+            again[at[order[same]]] = again[at[order[same + 1]]] = True
+            longest[np.searchsorted(found.rows, np.flatnonzero(again), "right") - 1] = now
+            now *= 2
+        reached = pa.array(np.flatnonzero(longest))
+        yield pa.RecordBatch.from_arrays([*(held[c].combine_chunks().take(reached) for c in KEY), pa.array(longest[longest > 0])], [*KEY, "longest"])
+
+    names = [*KEY, "text", "spots"]
+    spot = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))
+    schema = pa.schema([("doc_id", pa.int64()), ("own", pa.int64()), ("text", pa.string()), ("spots", spot)])
+    return texts.select(*names).coalesce(1).mapInArrow(tidy(run), "doc_id long, own long, longest long")
+
+
+def levels(docs: DataFrame, length: int = 35, together: int = TOGETHER) -> tuple[DataFrame, DataFrame]:
     """Tables of keyed() docs: repeated() at length, and (doc_id, own, longest), the greatest of 2 * length, 4 * length, ...
-    at which a window of the document still repeats. Each level reads what survived the one before."""
+    at which a window of the document still repeats. Each level reads what survived the one before, the last ones together
+    where that is at most so many bytes of text."""
     first = last = repeated(docs, length)
     out, now, texts = [first.select(*KEY, F.lit(length).cast("long").alias("longest"))], length, docs
     while True:
         reach = F.array_max(F.transform("spots", lambda s: s["first"] + s["n"])) - F.array_min(F.transform("spots", lambda s: s["first"]))
         texts = table(_of(texts.select(*docs.columns), last.where(reach > now), "inner", "spots"), "survivors")  # the others have no two windows `now` words apart
         now *= 2
+        if (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= together:
+            out.append(_further(texts, now))
+            break
         last = repeated(texts, now)
         if not last.limit(1).count():
             break
@@ -188,11 +228,11 @@ def _covered(spots: pa.Scalar | None, words: int, length: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove(docs: DataFrame, length: int = 35, digest: bool = False) -> DataFrame:
+def remove(docs: DataFrame, length: int = 35, digest: bool = False, together: int = TOGETHER) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, longest) per row of docs (doc_id, text): the kept words joined by one space, or
     with digest, as kept_sha256, the hex digest of that string in UTF-8; and the longest repeated length by levels(), or 0."""
     docs = keyed(docs)
-    spots, longest = levels(docs, length)
+    spots, longest = levels(docs, length, together)
     both = spots.join(longest.select(F.col("doc_id").alias("d"), F.col("own").alias("o"), "longest"), (F.col("own") == F.col("o")) & F.col("doc_id").eqNullSafe(F.col("d")))
     joined = _of(docs, both, "left", "spots", "longest").select("doc_id", "text", "spots", F.coalesce("longest", F.lit(0)).alias("longest"))
 

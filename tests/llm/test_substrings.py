@@ -3,6 +3,8 @@
 import collections
 import random
 
+import pytest
+
 from tessera.llm import substrings
 
 
@@ -32,11 +34,12 @@ def made(rng):
     return [*out, out[0], stock[5] * 9, ["x"] * 130, ["x"] * 11, ["y"] * 12, ["z"] * 13]
 
 
-def test_levels(spark):
+@pytest.mark.parametrize("together", [substrings.TOGETHER, 0, 4000])
+def test_levels(spark, together):
     for seed, length in ((1, 12), (2, 12), (3, 7)):
         words = made(random.Random(seed))
         rows = [(None if i % 10 == 3 else i % 50, " ".join(w)) for i, w in enumerate(words)]
-        got = substrings.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), length)
+        got = substrings.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), length, together=together)
         seen = collections.Counter(tuple(w[k : k + length]) for w in words for k in range(len(w) - length + 1))
         want = collections.Counter()
         for (i, _), w, most in zip(rows, words, longest(words, length), strict=True):

@@ -151,7 +151,8 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
     fate = whole.groupBy("seed").agg(F.sum("n").alias("total"), F.min("n").alias("least")).where("total > 1")
     fate = table(fate, "fate")  # so that the join below meets plain exchanges, which Spark splits where skewed
     alive = table(found.join(fate.select("seed", "least"), "seed").select(*KEY, "first", "n", (F.col("least") > 1).alias("whole")), "alive")
-    listed = F.collect_set(F.struct("first", "n"))  # rows that are alike in id and text name the same windows once
+    alike = docs.groupBy(*KEY).count().where("count > 1").limit(1).count()
+    listed = (F.collect_set if alike else F.collect_list)(F.struct("first", "n"))  # rows alike in id and text name the same windows; sets cost more
     forget(found)
     open_ = table(alive.where("NOT whole").groupBy(*KEY).agg(listed.alias("runs")), "runs")
     single = table(_windows(_of(docs, open_, "inner", "runs"), length), "windows")

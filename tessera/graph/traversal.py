@@ -6,6 +6,14 @@ frontier is broadcast only while it was counted to be small.
 
 from __future__ import annotations
 
+import os
+import tempfile
+from collections.abc import Callable, Iterator
+from contextlib import ExitStack
+from typing import BinaryIO
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,30 +41,80 @@ def bfs_log(levels: DataFrame) -> DataFrame:
     return levels.where("level > 0").groupBy((F.col("level") - 1).alias("iteration")).agg(F.count("*").alias("visited"))
 
 
-def dfs(edges: DataFrame, root: int, limit: int = 2_000_000) -> DataFrame:
+def dfs(edges: DataFrame, root: int) -> DataFrame:
     """(position, id): the order in which a stack search visits what root reaches, neighbours being marked when pushed in
-    ascending order and so popped largest first.
+    ascending order and so popped largest first. An edge with a null end is ignored.
 
-    The order is sequential by nature: the reachable subgraph is brought to the driver, if it has at most `limit` edges;
-    else an error says so. bfs() gives reachability at any size.
+    The order is sequential by nature, so one task walks all edges, which come to it sorted by their source. It keeps them
+    in files beside Spark's own spills, 8 bytes an edge and 24 a vertex, and one byte a vertex in memory; the driver gets
+    none of them.
     """
-    reach = bfs(edges, root).select(F.col("id").alias("src"))
-    own = edges.select("src", "dst").join(reach, "src", "left_semi").distinct()
-    rows = own.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"the reachable part has more than {limit} edges")
-    near: dict[int, list[int]] = {}
-    for r in sorted(rows):
-        near.setdefault(r["src"], []).append(r["dst"])
-    stack, marked, order = [root], {root}, []
-    while stack:
-        node = stack.pop()
-        order.append((len(order), node))
-        for other in near.get(node, ()):
-            if other not in marked:
-                marked.add(other)
-                stack.append(other)
-    return edges.sparkSession.createDataFrame(order, "position long, id long")
+    one = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    arcs = table(one.where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
+    none = F.lit(None).cast("long").alias("dst")
+    # Each vertex once more, without an edge, so that those which no edge leaves are known too; root even if it has no edge.
+    ends = arcs.select(F.col("dst").alias("src")).distinct().select("src", none)
+    start = edges.sparkSession.range(1).select(F.lit(root).cast("long").alias("src"), none)
+    every = arcs.unionByName(ends).unionByName(start).repartition(1).sortWithinPartitions("src")
+    found = table(every.mapInArrow(_walk(root), "position long, id long"), "dfs")
+    forget(arcs)
+    return found
+
+
+def _walk(root: int, block: int = 1 << 16) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function that takes the rows of dfs() and yields its order, both in blocks."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder = os.environ.get("SPARK_LOCAL_DIRS", tempfile.gettempdir()).split(",")[0]
+        with ExitStack() as closing:
+            ids, stops, near, stack = (closing.enter_context(tempfile.TemporaryFile(dir=folder)) for _ in range(4))
+            stops.write(np.zeros(1, np.int64))
+            last, n = None, 0
+            for batch in rows:
+                if not batch.num_rows:
+                    continue
+                src, real = batch.column("src").to_numpy(), batch.column("dst").is_valid()
+                first = np.flatnonzero(np.append(True, src[1:] != src[:-1]))
+                own, stop = src[first], n + np.cumsum(np.add.reduceat(real.to_numpy(zero_copy_only=False), first, dtype=np.int64))
+                near.write(batch.column("dst").filter(real).to_numpy())
+                if last is not None and last[0] != own[0]:  # else it goes on in this batch
+                    ids.write(last[0])
+                    stops.write(last[1])
+                ids.write(own[:-1])
+                stops.write(stop[:-1])
+                last, n = (own[-1], stop[-1]), int(stop[-1])
+            ids.write(last[0])
+            stops.write(last[1])
+            stack.truncate(ids.tell())
+            ids, stops, near, stack = _mapped(ids), _mapped(stops), _mapped(near), _mapped(stack)
+            for at in range(0, n, block):  # from ids to their ranks, which order alike
+                near[at : at + block] = np.searchsorted(ids, near[at : at + block])
+            marked = np.zeros(len(ids), bool)
+            stack[0] = np.searchsorted(ids, root)
+            marked[stack[0]] = True
+            top, visited, order = 1, 0, []
+            while top:
+                top -= 1
+                node = int(stack[top])
+                order.append(node)
+                fresh = near[stops[node] : stops[node + 1]]
+                fresh = fresh[~marked[fresh]]
+                if len(fresh):
+                    fresh.sort()
+                    marked[fresh] = True
+                    stack[top : top + len(fresh)] = fresh
+                    top += len(fresh)
+                if len(order) == block or not top:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(visited, visited + len(order))), pa.array(ids[order])], ["position", "id"])
+                    visited, order = visited + len(order), []
+
+    return run
+
+
+def _mapped(file: BinaryIO) -> np.ndarray:
+    """The numbers in file, read and written in place: they take memory only while there is some to spare."""
+    file.flush()
+    return np.memmap(file, np.int64, "r+").view(np.ndarray) if file.seek(0, os.SEEK_END) else np.empty(0, np.int64)
 
 
 def distances(edges: DataFrame, root: int, weight: str = "weight") -> DataFrame:

@@ -1,5 +1,7 @@
 """Graph operators on hand cases."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tessera.graph import components, model, program, ranking, traversal, triangles
@@ -39,6 +41,37 @@ def test_dfs_marks_when_pushed(spark):
     assert [r["id"] for r in traversal.dfs(edges(spark), 0).orderBy("position").collect()] == [0, 2, 3, 1]
 
 
+def plain_walk(near, root):
+    stack, marked, order = [root], {root}, []
+    while stack:
+        order.append(stack.pop())
+        fresh = [n for n in sorted(set(near(order[-1]))) if n not in marked]
+        marked.update(fresh)
+        stack += fresh
+    return list(enumerate(order))
+
+
+def test_dfs_of_more_than_two_million_edges(spark):
+    n, wide = 3000, 400
+    band = spark.range(n).withColumnRenamed("id", "src").withColumn("dst", F.explode(F.sequence(F.greatest(F.col("src") - wide, F.lit(0)), F.least(F.col("src") + wide, F.lit(n - 1)))))
+    assert band.count() > 2_000_000
+    assert sorted(tuple(r) for r in traversal.dfs(band, 1).collect()) == plain_walk(lambda i: range(max(i - wide, 0), min(i + wide, n - 1) + 1), 1)
+
+
+def test_dfs_of_odd_edges(spark):
+    draw = random.Random(5)
+    pairs = [(draw.randrange(-300, 300) * 10**15, draw.randrange(-300, 400) * 10**15) for _ in range(900)]
+    pairs += pairs[:50] + [(pairs[0][0], None), (None, pairs[0][0]), (None, None)]
+    near = {}
+    for a, b in pairs:
+        if a is not None and b is not None:
+            near.setdefault(a, []).append(b)
+    root = pairs[0][0]
+    assert sorted(tuple(r) for r in traversal.dfs(edges(spark, pairs), root).collect()) == plain_walk(lambda i: near.get(i, ()), root)
+    for found in (traversal.dfs(edges(spark), 9), traversal.dfs(edges(spark, []), 9)):
+        assert [tuple(r) for r in found.collect()] == [(0, 9)]
+
+
 def test_triangles(spark):
     both = edges(spark, ARCS + [(1, 0)])
     assert triangles.triangle_total(both).first()[0] == 1
